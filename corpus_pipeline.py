@@ -1,12 +1,69 @@
-"""The corpus pipeline: stages over documents, each calling one of the operators."""
+"""The corpus pipeline over ``documents``.  Each stage calls one training-data
+operator on all that its predecessor kept; a stage's result is written as Parquet
+and read again as the next one's input."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from fluxgate.llm.common import Scratch, table
+from fluxgate.llm.line_dedup import dedup_lines
+from fluxgate.llm.mixing import mix_sources
+from fluxgate.llm.ngram_join import ngram_jaccard_components
+from fluxgate.llm.packing import pack
+from fluxgate.llm.quality_cnn import quality_scores
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    scored = quality_scores(docs, table(spark, sf_dir, "labels"))
+    return scored.where("predicted = 1").select(docs.columns)
+
+
+def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose the lines that at least three documents share, but for one of them."""
+    out = dedup_lines(docs).withColumn("text", F.col("kept_text"))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(docs.columns)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents, the one with the smallest doc_id stays."""
+    groups = ngram_jaccard_components(docs)
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay")).distinct()
+    out = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stay")), "left_semi").withColumn("text_hash", F.xxhash64("text"))
+    return out.dropDuplicates(["doc_id", "text_hash"]).select(docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document comes as often as the mix takes it, or not at all."""
+    out = mix_sources(docs).where("copies > 0")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, each with its place in a sequence."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality", keep_good),
+    ("line_dedup", drop_common_lines),
+    ("near_copies", keep_one_of_near_copies),
+    ("mix", mix),
+    ("pack", pack_sequences),
+]
+
+#: The classifier and the packing can't be expressed in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of ``sf_dir``."""
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
