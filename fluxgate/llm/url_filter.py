@@ -46,12 +46,12 @@ def node_key(url: Column) -> Column:
     return F.when(F.locate("://", url) > 0, F.concat(F.regexp_replace(host, r":(80|443)$", ""), F.regexp_replace(path, r"/+$", ""), query))
 
 
-def resolve(base: Column, link: Column) -> Column:
-    """The absolute form of a link found in the page ``base``."""
+def resolve(base: str, link: str) -> Column:
+    """The absolute form of the link in a column, found in the page of a column."""
+    base, link = F.col(base), F.col(link)
     scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
     origin = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
     folder = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
-    link = F.trim(link)
     return (
         F.when((link == "") | link.startswith("#"), F.lit(None).cast("string"))
         .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
@@ -62,8 +62,9 @@ def resolve(base: Column, link: Column) -> Column:
     )
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """(url, target): canonical links and meta refreshes of the pages' HTML."""
+def page_links(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """(url, target): canonical links and meta refreshes of the pages' HTML.  The few
+    raw links are written first; one expression for all would be too long to compile."""
     html = F.col("html").cast("string")
     tags = F.array_union(
         F.regexp_extract_all(html, F.lit(r"(?i)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)"), F.lit(1)),
@@ -73,7 +74,8 @@ def page_links(pages: DataFrame) -> DataFrame:
     href = F.concat(*[F.regexp_extract("tag", rf"(?i)\bhref{_ATTR}", i) for i in (1, 2, 3)])
     refresh = F.regexp_extract("tag", r"""(?i)\burl\s*=\s*['"]?([^'">\s]+)""", 1)
     link = F.regexp_replace(F.when(F.col("tag").rlike("(?i)^<link"), href).otherwise(refresh), "&amp;", "&")
-    return found.select("url", resolve(F.col("url"), link).alias("target")).where("target is not null")
+    raw = scratch.keep(found.select("url", F.trim(link).alias("link")).distinct(), "raw")
+    return raw.select("url", resolve("url", "link").alias("target")).where("target is not null")
 
 
 def judge_urls(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES) -> DataFrame:
@@ -96,10 +98,10 @@ def judge_urls(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES
     url = F.col("url").cast("string")
     host, path = split_url(url)
     judged = pages.select("page_id", url.alias("url"), host.alias("host"), path.alias("path"), node_key(url).alias("node")).withColumn("own", rule_for(F.col("host"), F.col("path"), rules))
-    links = page_links(pages)
+    links = page_links(pages, scratch)
     if redirects is not None:
         links = links.unionByName(redirects.select(F.col("url").cast("string").alias("url"), F.col("target").cast("string").alias("target")))
-    links = links.select("url", "target", node_key(F.col("url")).alias("from"), node_key(F.col("target")).alias("to")).where("`from` is not null and `to` is not null")
+    links = scratch.keep(links.distinct(), "absolute").select("url", "target", node_key(F.col("url")).alias("from"), node_key(F.col("target")).alias("to")).where("`from` is not null and `to` is not null")
     links = scratch.keep(links.distinct(), "links")
     edges = links.select(F.xxhash64("from").alias("a"), F.xxhash64("to").alias("b"))
     label = components(edges, scratch)
