@@ -23,6 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 512, mb: int = 16) -> None:
+    """Let Arrow batches of texts hold few rows and bytes, unless the session says
+    otherwise: a Python worker's memory then doesn't depend on the texts' lengths."""
+    for key, usual, value in (("maxRecordsPerBatch", "10000", str(rows)), ("maxBytesPerBatch", None, str(mb << 20))):
+        key = f"spark.sql.execution.arrow.{key}"
+        if usual is None or spark.conf.get(key) == usual:
+            spark.conf.set(key, value)
+
+
 class Scratch:
     """Intermediate tables, written as Parquet to the shared folder and read again.
 
