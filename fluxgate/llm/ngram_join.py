@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, Scratch
+from .common import LOWER, UPPER, Scratch, bounded_batches
 from .graph import components
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -134,7 +134,7 @@ def _features(n: int, percent: int):
                     s = signatures(h, percent).view(np.int64)
                     held += len(s)
                     out["sigs"].append(s)
-                if held > 2_000_000:
+                if held > 250_000:
                     yield _batch(out)
                     out, held = {k: [] for k in out}, 0
             yield _batch(out)
@@ -185,6 +185,7 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) ->
     repeated.  Other columns are ignored; an empty table gives an empty result."""
     if not 70 <= percent <= 100:
         raise ValueError("percent: from 70 to 100; a pair must lie in one size band or in adjacent ones")
+    bounded_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "ngram")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     longs = ", ".join(f"{c} long" for c in ("doc_id", "th", "n", "key", "w0", "w1", "w2", "w3"))
@@ -220,7 +221,8 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) ->
     links = verified(pairs, "links1")
     label = components(links, scratch, "cc1")
 
-    at = live.join(label.select(F.col("id").alias("key"), "label"), "key", "left").withColumn("comp", F.coalesce("label", "key")).drop("label", "degree")
+    comps = nodes.where("degree is not null").select("key").join(label.select(F.col("id").alias("key"), "label"), "key", "left").select("key", F.coalesce("label", "key").alias("comp"))
+    at = live.drop("degree").join(comps.hint("merge"), "key")
     mixed = at.withColumns({"lo": F.min("comp").over(by_sig), "hi": F.max("comp").over(by_sig)}).where("lo < hi").drop("lo", "hi")
     mixed = scratch.keep(mixed, "mixed")
     scratch.drop("live")
