@@ -6,8 +6,8 @@ a parity sketch whose Hamming distance never exceeds the symmetric difference of
 the two sets.  At similarity t the difference of a linked pair is at most
 d = floor(min size * (1 - t) / t), so with P = d + 1 parts at least one word of
 the sketch is equal (pigeonhole).  Size bands fix P for both sides of a pair.
-Candidates that share a word pass the size bound and the Hamming bound of a
-folded 256-bit sketch, and are then verified on the exact n-grams."""
+Candidates that share a word and pass the size bound and the Hamming bounds of
+a 256-bit and then of a 2048-bit sketch are verified on the exact n-grams."""
 
 from __future__ import annotations
 
@@ -25,6 +25,8 @@ from .graph import components
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: Upper end of each size band over its lower end; any ratio over 1 is right.
 BAND_RATIO = 1.5
+#: 64-bit words of the sketches that candidates are held against, first and then.
+SHORT, LONG = 4, 32
 #: Set keys that a task remembers so as not to send a copy's sketch again.
 SEEN = 200_000
 
@@ -108,7 +110,7 @@ def _features(n: int, percent: int):
         seen: set[int] = set()
         for batch in batches:
             rows = batch.to_pydict()
-            out: dict[str, list] = {k: [] for k in ("doc_id", "th", "n", "key", "w0", "w1", "w2", "w3", "sigs")}
+            out: dict[str, list] = {k: [] for k in ("doc_id", "th", "n", "key", "w0", "w1", "w2", "w3", "sketch", "sigs")}
             held = 0
             for doc, th, text in zip(rows["doc_id"], rows["th"], rows["text"], strict=True):
                 w = words_of(text)
@@ -116,21 +118,23 @@ def _features(n: int, percent: int):
                 out["th"].append(th)
                 if not w:
                     out["n"].append(0)
-                    for k in ("key", "w0", "w1", "w2", "w3", "sigs"):
+                    for k in ("key", "w0", "w1", "w2", "w3", "sketch", "sigs"):
                         out[k].append(None)
                     continue
                 h = shingle_hashes(w, n)
                 key = xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63)
                 out["n"].append(len(h))
                 out["key"].append(key)
-                for i, x in enumerate(parity_words(h, 4).view(np.int64)):
+                for i, x in enumerate(parity_words(h, SHORT).view(np.int64)):
                     out[f"w{i}"].append(int(x))
                 if key in seen:
+                    out["sketch"].append(None)
                     out["sigs"].append(None)
                 else:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen.add(key)
+                    out["sketch"].append(parity_words(h, LONG).view(np.int64))
                     s = signatures(h, percent).view(np.int64)
                     held += len(s)
                     out["sigs"].append(s)
@@ -143,7 +147,7 @@ def _features(n: int, percent: int):
 
 
 def _batch(out: dict[str, list]) -> pa.RecordBatch:
-    kinds = {"sigs": pa.list_(pa.int64())}
+    kinds = dict.fromkeys(("sketch", "sigs"), pa.list_(pa.int64()))
     return pa.RecordBatch.from_arrays([pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items()], names=list(out))
 
 
@@ -189,8 +193,8 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) ->
     scratch = Scratch(docs.sparkSession, "ngram")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     longs = ", ".join(f"{c} long" for c in ("doc_id", "th", "n", "key", "w0", "w1", "w2", "w3"))
-    feats = scratch.keep(src.mapInArrow(_features(n, percent), f"{longs}, sigs array<long>"), "feats")
-    nodes = feats.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc"), F.min(F.struct("doc_id", "th")).alias("row"), *[F.first(c).alias(c) for c in ("n", "w0", "w1", "w2", "w3")])
+    feats = scratch.keep(src.mapInArrow(_features(n, percent), f"{longs}, sketch array<long>, sigs array<long>"), "feats")
+    nodes = feats.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc"), F.min(F.struct("doc_id", "th")).alias("row"), *[F.first(c).alias(c) for c in ("n", "w0", "w1", "w2", "w3")], F.first("sketch", ignorenulls=True).alias("sketch"))
 
     by_sig = Window.partitionBy("sig")
     sigs = feats.where("sigs is not null").select(F.explode("sigs").alias("sig"), "key")
@@ -198,21 +202,28 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) ->
     shared = scratch.keep(shared, "shared")
     degree = shared.groupBy("key").agg(F.count(F.lit(1)).alias("degree"))
     nodes = scratch.keep(nodes.join(degree, "key", "left"), "nodes")
-    live = scratch.keep(shared.join(nodes.where("degree is not null").drop("doc", "row"), "key"), "live")
+    live = scratch.keep(shared.join(nodes.where("degree is not null").drop("doc", "row", "sketch"), "key"), "live")
     scratch.drop("shared")
-    # one row of each node gives its text: by doc_id and text, as a doc_id may be null or repeated
-    at_row = lambda c: [F.coalesce(F.col(f"{c}doc_id"), F.lit(-1)).alias("d"), F.col(f"{c}th").alias("th")]
-    wanted = nodes.where("degree is not null").select(*at_row("row."), "key")
-    texts = src.select(*at_row(""), "text").join(wanted, ["d", "th"]).dropDuplicates(["d", "th", "key"]).select("key", "text")
-    texts = scratch.keep(texts, "texts")
-
     def near(x: str, y: str) -> str:
         flips = " + ".join(f"bit_count({x}.w{i} ^ {y}.w{i})" for i in range(4))
         return f"{percent} * greatest({x}.n, {y}.n) <= 100 * least({x}.n, {y}.n) and {flips} <= least({x}.n, {y}.n) * {100 - percent} div {percent}"
 
+    at_row = lambda c: [F.coalesce(F.col(f"{c}doc_id"), F.lit(-1)).alias("d"), F.col(f"{c}th").alias("th")]
+    flips = "aggregate(zip_with(x.sketch, y.sketch, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """The linked ones of distinct pairs (a, b): first by the long sketches, then
+        by the texts of those that are left."""
+        own = nodes.where("degree is not null").select("key", "n", "sketch")
+        close = pairs.join(own.alias("x"), F.expr("a = x.key")).join(own.alias("y"), F.expr("b = y.key"))
+        close = close.where(F.expr(f"{flips} <= least(x.n, y.n) * {100 - percent} div {percent}")).select("a", "b")
+        close = scratch.keep(close, f"{name}-close")
+        # one row of each node gives its text: by doc_id and text, as a doc_id may be null or repeated
+        wanted = close.select(F.col("a").alias("key")).union(close.select("b")).distinct().join(nodes.select("key", *at_row("row.")), "key")
+        wanted = scratch.keep(wanted, f"{name}-wanted")
+        texts = src.select(*at_row(""), "text").join(wanted, ["d", "th"]).dropDuplicates(["d", "th", "key"]).select("key", "text")
         ta, tb = (texts.select(F.col("key").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-        return scratch.keep(pairs.join(tb, "b").join(ta, "a").mapInArrow(_verify(n, percent), "a long, b long"), name)
+        return scratch.keep(close.join(tb, "b").join(ta, "a").mapInArrow(_verify(n, percent), "a long, b long"), name)
 
     by_rank = by_sig.orderBy(F.desc("degree"), "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     me = F.struct("key", "n", "w0", "w1", "w2", "w3")
@@ -231,7 +242,7 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) ->
     more = verified(rest.join(pairs, ["a", "b"], "left_anti"), "links2")
     if not more.isEmpty():
         label = components(links.unionByName(more), scratch, "cc2")
-    for name in ("mixed", "texts", "pairs"):
+    for name in ("mixed", "pairs"):
         scratch.drop(name)
 
     named = nodes.select("key", "doc").join(label.withColumnRenamed("id", "key"), "key", "left").withColumn("root", F.coalesce("label", "key"))
