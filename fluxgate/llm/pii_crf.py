@@ -10,7 +10,6 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +34,8 @@ _OPEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
 #: What does not belong to a span at a token's ends.
 _TRIM_LEFT, _TRIM_RIGHT = "\"'`<[{,;:!?*#$%&|~_=/\\", "\"'`>]},;:!?*#$%&|~_=/\\."
 LABELS = ("O", *KINDS)
+#: Results that a remembered function keeps.
+MEMORY = 50_000
 #: Feature slots; features are hashed into them.
 SLOTS = 1 << 12
 
@@ -81,6 +82,22 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+class remembered:
+    """A function of one argument with its last results, as many as memory allows."""
+
+    def __init__(self, f):
+        self.f, self.got = f, {}
+
+    def __call__(self, x):
+        try:
+            return self.got[x]
+        except KeyError:
+            if len(self.got) >= MEMORY:
+                self.got.clear()
+            self.got[x] = y = self.f(x)
+            return y
+
+
 def shape(token: str) -> str:
     """Digits as 9 with their run's length up to 6, letters as a or A, runs once."""
     token = token[:80]
@@ -88,7 +105,7 @@ def shape(token: str) -> str:
     return re.sub(r"[^\W\d_A-Z]+", "a", re.sub(r"[A-Z]+", "A", token))
 
 
-@lru_cache(100_000)
+@remembered
 def own_features(token: str) -> tuple[str, ...]:
     core = token.strip(_TRIM_LEFT + _TRIM_RIGHT)
     digits = re.sub(r"\D", "", core[:200])
@@ -99,13 +116,13 @@ def own_features(token: str) -> tuple[str, ...]:
     return (f"s={groups}", f"n={min(len(digits), 20)}", f"at={core.count('@')}", f"ip={ip}", f"card={card}", f"letters={bool(re.search('[A-Za-z]', core))}", f"plus={core[:1] == '+'}", f"paren={core[:1] + core[-1:] == '()'}")
 
 
-@lru_cache(100_000)
+@remembered
 def near_features(token: str) -> str:
     core = token.strip(_TRIM_LEFT + _TRIM_RIGHT)
     return shape(core) if _MARK.search(core) else "word"
 
 
-@lru_cache(200_000)
+@remembered
 def slot(feature: str) -> int:
     return int.from_bytes(hashlib.blake2b(feature.encode("utf-8", "surrogatepass"), digest_size=4).digest(), "little") % SLOTS
 
