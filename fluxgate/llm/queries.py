@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
+from .oracles import ORACLES  # noqa: F401
 
 
 def op1_redirect_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judge_urls
 
-    return judge_urls(table(spark, sf_dir, "pages"))
+    return judge_urls(table(spark, sf_dir, "pages")).drop("component")
 
 
 def op2_kd_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,4 +83,4 @@ def op10_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_redirect_url_filter, op2_kd_tree_shards, op3_bit_sliced_top_k, op4_crf_pii, op5_large_item_packing, op6_levelled_line_dedup, op7_byte_cnn_quality, op8_quality_rules, op9_parity_sketch_join, op10_pareto_mix)}
-ORACLES: dict[str, str] = {}
+
