@@ -211,7 +211,7 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) ->
     at_row = lambda c: [F.coalesce(F.col(f"{c}doc_id"), F.lit(-1)).alias("d"), F.col(f"{c}th").alias("th")]
     flips = "aggregate(zip_with(x.sketch, y.sketch, (p, q) -> bit_count(p ^ q)), 0, (s, v) -> s + v)"
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
+    def verified(pairs: DataFrame, name: str, hint: str | None = None) -> DataFrame:
         """The linked ones of distinct pairs (a, b): first by the long sketches, then
         by the texts of those that are left."""
         own = nodes.where("degree is not null").select("key", "n", "sketch")
@@ -221,7 +221,7 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) ->
         # one row of each node gives its text: by doc_id and text, as a doc_id may be null or repeated
         wanted = close.select(F.col("a").alias("key")).union(close.select("b")).distinct().join(nodes.select("key", *at_row("row.")), "key")
         wanted = scratch.keep(wanted, f"{name}-wanted")
-        texts = src.select(*at_row(""), "text").join(wanted, ["d", "th"]).dropDuplicates(["d", "th", "key"]).select("key", "text")
+        texts = src.select(*at_row(""), "text").join(wanted.hint(hint) if hint else wanted, ["d", "th"]).dropDuplicates(["d", "th", "key"]).select("key", "text")
         ta, tb = (texts.select(F.col("key").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
         return scratch.keep(close.join(tb, "b").join(ta, "a").mapInArrow(_verify(n, percent), "a long, b long"), name)
 
@@ -229,7 +229,8 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) ->
     me = F.struct("key", "n", "w0", "w1", "w2", "w3")
     first = live.select("sig", me.alias("x"), F.first(me).over(by_rank).alias("y")).where("x.key <> y.key").where(F.expr(near("x", "y")))
     pairs = scratch.keep(first.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct(), "pairs")
-    links = verified(pairs, "links1")
+    # the first pass wants a share of all documents, so it is planned as a shuffle at any size
+    links = verified(pairs, "links1", "merge")
     label = components(links, scratch, "cc1")
 
     comps = nodes.where("degree is not null").select("key").join(label.select(F.col("id").alias("key"), "label"), "key", "left").select("key", F.coalesce("label", "key").alias("comp"))
