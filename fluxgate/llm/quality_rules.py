@@ -39,26 +39,31 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     windows are not all distinct goes on: sorted with their places, equal
     neighbours give the places of repeated windows, and the gaps between these
     places, at most a window each, add up to the words covered."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
 
     def of(h: Column) -> Column:
-        n = F.size(h)
-        starts = F.sequence(F.lit(1), n - (window - 1))
+        starts = F.sequence(F.lit(1), F.size(h) - (window - 1))
         return F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + (k - 1)) for k in range(window)]))
 
-    def covered(g: Column) -> Column:
-        order = F.array_sort(F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        last = F.size(g) - 1
-        same = F.transform(order, lambda x, i: F.when((i > 0) & (F.get(order, F.greatest(i - 1, F.lit(0)))["h"] == x["h"]) | (i < last) & (F.get(order, F.least(i + 1, last))["h"] == x["h"]), x["i"]))
-        places = F.array_sort(F.filter(same, lambda p: p.isNotNull()))
+    def repeated(order: Column) -> Column:
+        at = lambda i: F.get(order, i)["h"]
+        same = F.transform(order, lambda x, i: F.when((at(i - 1) == x["h"]) | (at(i + 1) == x["h"]), x["i"]))
+        return F.array_sort(F.filter(same, lambda p: p.isNotNull()))
+
+    def covered(places: Column) -> Column:
         # lengths up to the next place, a window at most; the last place counts a whole window
-        steps = F.zip_with(places, F.slice(places, F.lit(2), F.size(places)), lambda a, b: F.least(F.coalesce(b - a, F.lit(window)), F.lit(window)))
-        return F.aggregate(steps, F.lit(0), lambda s, x: s + x)
+        return F.aggregate(F.transform(places, lambda p, i: F.least(F.coalesce(F.get(places, i + 1) - p, F.lit(window)), F.lit(window))), F.lit(0), lambda s, x: s + x)
+
+    def count(g: Column) -> Column:
+        order = F.array_sort(F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(let(let(order, repeated), covered))
+
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return F.when(F.size(words) <= window, F.lit(0)).otherwise(let(let(hashes, of), count)).cast("long")
+
 
-    # one-element arrays bind the hashed windows to a name, so that they are made once
-    windows = F.transform(F.array(hashes), of)
-    once = F.transform(windows, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(F.transform(F.array(g), covered)[0]))
-    return F.when(F.size(words) <= window, F.lit(0)).otherwise(once[0]).cast("long")
+def let(value: Column, f) -> Column:
+    """f of a value that is made once: lambda arguments are the only names there are."""
+    return F.transform(F.array(value), f)[0]
 
 
 def measure(docs: DataFrame) -> DataFrame:
