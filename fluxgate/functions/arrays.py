@@ -16,15 +16,17 @@ def record_length(shape: Column) -> Column:
     return F.when(F.coalesce(F.size(shape), F.lit(0)) <= 1, F.lit(1).cast("bigint")).otherwise(F.aggregate(F.slice(shape, F.lit(2), F.size(shape) - 1), F.lit(1).cast("bigint"), lambda a, b: a * b))
 
 
-def flat_index(index: Column, shape: Column) -> Column:
-    """Row-major position of an index; 0 outside 2 to 10 dimensions."""
+def inverted_flat_index(index: Column, shape: Column) -> Column:
+    """Position of an index with the last dimension fastest (row-major); 0 outside 2
+    to 10 dimensions."""
     pairs = F.zip_with(index, shape, lambda i, n: F.struct(i.cast("bigint").alias("i"), n.cast("bigint").alias("n")))
     return F.when(F.size(shape).between(2, 10), F.aggregate(pairs, F.lit(0).cast("bigint"), lambda a, p: a * p["n"] + p["i"])).otherwise(F.lit(0).cast("bigint"))
 
 
-def inverted_flat_index(index: Column, shape: Column) -> Column:
-    """Column-major position of an index; 0 outside 2 to 10 dimensions."""
-    return flat_index(F.reverse(index), F.reverse(shape))
+def flat_index(index: Column, shape: Column) -> Column:
+    """Position of an index with the first dimension fastest (column-major); 0
+    outside 2 to 10 dimensions."""
+    return inverted_flat_index(F.reverse(index), F.reverse(shape))
 
 
 def to_row_major(values: Column, shape: tuple[int, ...]) -> Column:

@@ -129,7 +129,7 @@ def majority_swap(spark: SparkSession, d: str) -> DataFrame:
 def flat_index(spark: SparkSession, d: str) -> DataFrame:
     v = F.col("vec_id")
     index, shape = F.array(v % 3, v % 4, v % 5), F.array(F.lit(3), F.lit(4), F.lit(5))
-    return table(spark, d, "embeddings").select("vec_id", arrays.flat_index(index, shape).alias("row_major"), arrays.inverted_flat_index(index, shape).alias("column_major"))
+    return table(spark, d, "embeddings").select("vec_id", arrays.inverted_flat_index(index, shape).alias("row_major"), arrays.flat_index(index, shape).alias("column_major"))
 
 
 _SHAPED = "(select p_partkey, case p_partkey % 5 when 0 then [] when 1 then [p_size] when 2 then [p_size, 3] when 3 then [p_size * 1000, 4000] else [p_size, 2, 2] end as shape, case when p_partkey % 7 = 0 then 'CDF_CHAR' else 'CDF_DOUBLE' end as t, case when p_partkey % 11 = 0 then ' Spectrogram' when p_partkey % 13 = 0 then 'time_series' end as dt from part)"
