@@ -73,7 +73,7 @@ g as (select doc_id, i, array_to_string(w[i:i + 7], ' ') as g from (select doc_i
 r as (select doc_id, count(distinct i + k) as n from (select doc_id, i from g qualify count(*) over (partition by doc_id, g) > 1), range(0, 8) x(k) group by 1),
 m as (select doc_id, len(w)::BIGINT as n_words, coalesce(list_sum([length(x) for x in w]), 0)::BIGINT as word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT as n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT as n_dup_lines, coalesce(r.n, 0)::BIGINT as n_repeat_words,
   len(list_filter(w, lambda x: list_contains({_STOP}, translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')))) as n_stop,
-  len(list_filter(w, lambda x: regexp_matches(x, '^[\p{{Lu}}\p{{P}}\p{{S}}]*\p{{Lu}}[\p{{Lu}}\p{{P}}\p{{S}}]+$'))) as n_upper, len(list_filter(lines, lambda x: regexp_matches(x, '^[ \t]*[-*•·]'))) as n_bullet, len(lines) as n_lines from w left join r using (doc_id)),
+  len(list_filter(w, lambda x: regexp_matches(x, '^[\p{{Lu}}\p{{N}}\p{{P}}\p{{S}}]*\p{{Lu}}[\p{{Lu}}\p{{N}}\p{{P}}\p{{S}}]+$'))) as n_upper, len(list_filter(lines, lambda x: regexp_matches(x, '^[ \t]*[-*•·]'))) as n_bullet, len(lines) as n_lines from w left join r using (doc_id)),
 f as (select *, word_chars / nullif(n_words, 0) as mean_word_chars, n_symbols / nullif(n_words, 0) as symbols_per_word, n_stop / nullif(n_words, 0) as stop_word_share, n_upper / nullif(n_words, 0) as upper_word_share,
   n_dup_lines / nullif(n_lines, 0) as repeated_line_share, n_repeat_words / nullif(n_words, 0) as repeated_word_share, n_bullet / nullif(n_lines, 0) as bullet_line_share from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed, not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and {_rules()} as kept from f"""
