@@ -23,8 +23,8 @@ from .common import Scratch
 SCALE = 1024.0
 #: Rows of a block, and bits kept of a component.
 BLOCK, BITS = 16384, 8
-#: Row blocks and queries that meet in one task at a time.
-CELL_BLOCKS, CELL_QUERIES = 8, 1024
+#: Row blocks and queries that meet in one task at a time, and tasks at most.
+CELL_BLOCKS, CELL_QUERIES, MOST_TASKS = 1, 1024, 20_000
 #: Components are held within +-LIMIT, so that scores stay within 64 bits.
 LIMIT = 1 << 27
 
@@ -233,6 +233,10 @@ def exact_top_k(rows: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     cell_rows = index.withColumnRenamed("at", "p").join(groups(asked, "n"), "dim").withColumn("q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1))).drop("n")
     cell_asks = asked.withColumnRenamed("at", "q").join(groups(index, "n"), "dim").withColumn("p", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1))).drop("n")
     keys = ["dim", "p", "q"]
+    # a cell is small to send and long to work on, so cells aren't put together by size
+    cells = index.select("dim", "at").distinct().count() * max(1, asked.select("dim", "at").distinct().count())
+    tasks = max(1, min(MOST_TASKS, 2 * cells))
+    cell_rows, cell_asks = (df.repartition(tasks, *keys) for df in (cell_rows, cell_asks))
     found = cell_rows.groupBy(*keys).cogroup(cell_asks.groupBy(*keys)).applyInArrow(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

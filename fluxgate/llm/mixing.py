@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, unit_interval, word_count
 
 #: Rows of a source that one window task ranks, on average.
-ROWS_PER_SLICE = 20_000
+ROWS_PER_SLICE = 2_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:

@@ -1,13 +1,15 @@
 """N-gram Jaccard join by parity sketches.
 
-A document is the set of its distinct word n-grams.  Hash each n-gram to one of
-P parts and one of 64 bits, and XOR the bits of a part together: the P words are
-a parity sketch whose Hamming distance never exceeds the symmetric difference of
-the two sets.  At similarity t the difference of a linked pair is at most
-d = floor(min size * (1 - t) / t), so with P = d + 1 parts at least one word of
-the sketch is equal (pigeonhole).  Size bands fix P for both sides of a pair.
-Candidates that share a word and pass the size bound and the Hamming bounds of
-a 256-bit and then of a 2048-bit sketch are verified on the exact n-grams."""
+A document is the set of its distinct word n-grams.  A parity sketch gives each
+n-gram one bit and flips it, so the Hamming distance of two sketches never exceeds
+the symmetric difference of the sets.  At similarity t, the difference of a linked
+pair is at most d = floor(min size * (1 - t) / t).  Cut a sketch, wide enough that
+no two n-grams meet, into more than d parts: at least one part of a linked pair is
+equal (pigeonhole).  A part is kept as the XOR of its n-grams' 64-bit hashes.  Size
+bands fix the parts for both sides of a pair.  Of the parts that hold anything, the
+first d + 1 by hash are enough, since at most d of them can differ.  Candidates
+that share a part and pass the size bound and the Hamming bounds of a 256-bit and
+then of a 2048-bit sketch are verified on the exact n-grams."""
 
 from __future__ import annotations
 
@@ -88,8 +90,13 @@ def allowed(n: int, percent: int) -> int:
 
 
 def signatures(h: np.ndarray, percent: int) -> np.ndarray:
-    """One signature for each sketch word of the set's band, and of the band
-    below where a linked partner may be that small."""
+    """Signatures of sketch parts, of the set's size band and of the band below
+    where a linked partner may be that small.  Two linked sets share one, unless
+    they are equal.
+
+    With more than d parts that are not empty, the first d + 1 of these by hash are
+    given: of all such parts of either set at most d differ, so both sets have a
+    common part among their first d + 1.  A set with fewer gives all parts."""
     n, edges = len(h), band_edges(len(h))
     k = next(i for i in range(len(edges)) if n < edges[i]) - 1
     out = []
@@ -97,11 +104,24 @@ def signatures(h: np.ndarray, percent: int) -> np.ndarray:
         # the smaller set of a pair of this level is below the next edge
         if level < 0 or level < k and n * percent > 100 * (edges[level + 1] - 1):
             continue
-        parts = allowed(edges[level + 1] - 1, percent) + 1
-        if parts == 1:  # only equal sets can link
+        d = allowed(edges[level + 1] - 1, percent)
+        if d == 0:  # only equal sets can link
             continue
-        w = parity_words(_mix(h ^ np.uint64(level + 1)), parts)
-        out.append(_mix(_mix(w + np.uint64(level * 2 + 1)) ^ (np.arange(parts, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
+        parts = d + 1 + (d + 1) // 4 + 1
+        own = _mix(h ^ np.uint64(level + 1))
+        part = ((own >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        word = np.bitwise_xor.reduceat(_mix(own[order] + np.uint64(1)), start)
+        if len(start) > d:
+            part = part[start]
+        else:
+            full = np.zeros(parts, np.uint64)
+            full[part[start].astype(np.int64)] = word
+            part, word = np.arange(parts, dtype=np.uint64), full
+        sig = _mix(_mix(word + np.uint64(level * 2 + 1)) ^ (part * np.uint64(0x9E3779B97F4A7C15)))
+        out.append(np.partition(sig, d)[: d + 1] if len(start) > d and len(sig) > d + 1 else sig)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -169,7 +189,7 @@ def _verify(n: int, percent: int):
     return run
 
 
-def ngram_jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+def ngram_jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text).
 
     Two documents link when 100 * |A & B| >= percent * |A | B| on their sets of
@@ -178,9 +198,9 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) ->
     that can be reached.  No link is lost and no partner count is capped:
 
     1. Equal sets share a key and are one node from here on, however many copies.
-    2. Each node meets the most connected node of each of its sketch words; what
+    2. Each node meets the most connected node of each of its sketch parts; what
        is verified there forms first components.
-    3. Within each sketch word, every pair of nodes from different components that
+    3. Within each sketch part, every pair of nodes from different components that
        passes the size and Hamming bounds is verified as well.  A pair within one
        component would change nothing and is never built.
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, bounded_batches
 
 #: Rows of one length that one window task ranks, on average.
-ROWS_PER_BLOCK = 20_000
+ROWS_PER_BLOCK = 1_000
 #: The split pattern of the byte-level vocabulary (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 

@@ -57,14 +57,14 @@ def test_equals_brute_force(documents, n, percent):
 
 
 def test_odd_rows(documents):
-    got = N.ngram_jaccard_components(documents(ODD)).collect()
+    got = N.ngram_jaccard_components(documents(ODD), 3, 90).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(ODD)
 
 
 def test_ids_repeated_with_other_texts(documents):
     a, b = prose(1, 50), prose(2, 50)
     rows = [(1, a), (1, b), (2, a + " x"), (3, b + " x"), (None, a)]
-    got = N.ngram_jaccard_components(documents(rows)).collect()
+    got = N.ngram_jaccard_components(documents(rows), 3, 90).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(rows)
 
 
