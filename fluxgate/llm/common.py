@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,7 +20,9 @@ def shared_dir(spark: SparkSession) -> str:
     Only where the session names none (local tests) is a temporary one made."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fluxgate-"))
+        own = tempfile.mkdtemp(prefix="fluxgate-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        spark.sparkContext.setCheckpointDir(own)
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
