@@ -129,11 +129,11 @@ def _features(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            rows = batch.to_pydict()
+            texts = batch.column("text")
             out: dict[str, list] = {k: [] for k in ("doc_id", "th", "n", "key", "w0", "w1", "w2", "w3", "sketch", "sigs")}
             held = 0
-            for doc, th, text in zip(rows["doc_id"], rows["th"], rows["text"], strict=True):
-                w = words_of(text)
+            for doc, th, text in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), texts, strict=True):
+                w = words_of(text.as_py())
                 out["doc_id"].append(doc)
                 out["th"].append(th)
                 if not w:
@@ -158,7 +158,7 @@ def _features(n: int, percent: int):
                     s = signatures(h, percent).view(np.int64)
                     held += len(s)
                     out["sigs"].append(s)
-                if held > 250_000:
+                if held > 50_000:
                     yield _batch(out)
                     out, held = {k: [] for k in out}, 0
             yield _batch(out)
