@@ -82,6 +82,7 @@ def csv_line(columns: Sequence[Column]) -> Column:
     return F.concat_ws(",", *[csv_cell(c) for c in columns])
 
 
+# Characters and words that a YAML scalar can't hold unquoted.
 _INDICATORS = set(":#[]{}&*!|>'\"%@`,\n\t")
 _RESERVED = {"true", "false", "null", "yes", "no", "on", "off"}
 

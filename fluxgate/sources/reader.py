@@ -148,6 +148,7 @@ class _Reader(DataSourceReader):
         self.variables = [n.strip() for n in names.split(",")] if names else None
         self.latin1 = options.get("latin1", "true").lower() == "true"
         self.bytes = int(options.get("partitionBytes", 64 << 20))
+        self.first, self.last = int(options.get("firstRecord", 0)), int(options.get("lastRecord", (1 << 63) - 1))
 
     def partitions(self) -> Sequence[InputPartition]:
         """One per file for metadata; for records, runs of blocks of one variable of
@@ -162,6 +163,8 @@ class _Reader(DataSourceReader):
                     continue
                 held, size = [], 0
                 for b in p.blocks(v):
+                    if not v.is_nrv and (b.last < self.first or b.first > self.last):
+                        continue
                     held.append(b)
                     size += (b.last - b.first + 1) * v.record_bytes
                     if size >= self.bytes:
@@ -179,7 +182,12 @@ class _Reader(DataSourceReader):
         if name is None:
             yield from parsed_batches(p, path, self.table, self.variables)
         else:
-            yield from record_batches(p, path, next(v for v in p.file.variables if v.name == name), blocks)
+            var = next(v for v in p.file.variables if v.name == name)
+            for batch in record_batches(p, path, var, blocks):
+                if not var.is_nrv:
+                    rec = batch.column("rec").to_numpy()
+                    batch = batch.filter(pa.array((rec >= self.first) & (rec <= self.last)))
+                yield batch
 
 
 def _expand(path: str) -> list[str]:
@@ -207,7 +215,8 @@ class CdfSource(DataSource):
     """``spark.read.format("cdf").option("table", ...).option("variables", "a,b").load(path)``.
 
     Python sources get no column pruning, so the variables are an option: only their
-    blocks are read."""
+    blocks are read.  The options ``firstRecord`` and ``lastRecord`` bound the records
+    of record-varying variables; blocks outside are not read."""
 
     @classmethod
     def name(cls) -> str:

@@ -116,6 +116,15 @@ def test_variables_option(spark, folder):
     assert r.rdd.getNumPartitions() >= 4
 
 
+def test_record_range_skips_blocks(spark, folder):
+    reader.register(spark)
+    opened = lambda **o: spark.read.format("cdf").option("variables", "zeros,var_string").option("partitionBytes", "1").options(**o).load(folder + "/a.cdf")
+    few = opened(firstRecord="100", lastRecord="130")
+    assert few.rdd.getNumPartitions() < opened().rdd.getNumPartitions() / 5
+    assert sorted(r.rec for r in few.where("variable = 'zeros'").collect()) == list(range(100, 131))
+    assert few.where("variable = 'var_string'").count() == 1
+
+
 def test_time_series(spark, folder):
     records, variables = (reader.read_cdf(spark, folder, n, pattern="a.cdf") for n in ("records", "variables"))
     w = reader.time_series(records, variables, ["tt2000", "var", "epoch16"]).orderBy("rec").collect()
