@@ -147,8 +147,8 @@ class _Reader(DataSourceReader):
         names = options.get("variables")
         self.variables = [n.strip() for n in names.split(",")] if names else None
         self.latin1 = options.get("latin1", "true").lower() == "true"
-        self.bytes = int(options.get("partitionBytes", 64 << 20))
-        self.first, self.last = int(options.get("firstRecord", 0)), int(options.get("lastRecord", (1 << 63) - 1))
+        self.bytes = int(options.get("partitionbytes", 64 << 20))
+        self.first, self.last = int(options.get("firstrecord", 0)), int(options.get("lastrecord", (1 << 63) - 1))
 
     def partitions(self) -> Sequence[InputPartition]:
         """One per file for metadata; for records, runs of blocks of one variable of
@@ -211,6 +211,11 @@ def _expand(path: str) -> list[str]:
     return out
 
 
+def _lower(options) -> dict[str, str]:
+    """Options by lower-cased names, as Spark takes them in any case."""
+    return {k.lower(): v for k, v in options.items()}
+
+
 class CdfSource(DataSource):
     """``spark.read.format("cdf").option("table", ...).option("variables", "a,b").load(path)``.
 
@@ -226,12 +231,12 @@ class CdfSource(DataSource):
         return SCHEMAS[self.options.get("table", "records")]
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options.get("table", "records"), dict(self.options))
+        return _Reader(self.options.get("table", "records"), _lower(self.options))
 
     def writer(self, schema, overwrite: bool):
         from .writer import CdfWriter
 
-        return CdfWriter(dict(self.options), schema, overwrite)
+        return CdfWriter(_lower(self.options), schema, overwrite)
 
 
 def register(spark: SparkSession) -> None:

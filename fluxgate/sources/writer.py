@@ -86,8 +86,8 @@ class CdfWriter(DataSourceWriter):
     def __init__(self, options: dict[str, str], schema: T.StructType, overwrite: bool):
         self.path, self.overwrite = options["path"].removeprefix("file://"), overwrite
         self.compression = options.get("compression", "none")
-        self.variable_compression = options.get("variablecompression", options.get("variableCompression", "none"))
-        self.kinds = {f.name: options.get(f"type.{f.name}") or column_type(f.dataType) for f in schema if f.name not in ("rec", "file_id")}
+        self.variable_compression = options.get("variablecompression", "none")
+        self.kinds = {f.name: options.get(f"type.{f.name}".lower()) or column_type(f.dataType) for f in schema if f.name not in ("rec", "file_id")}
         self.names = schema.names
         self.stage = os.path.join(self.path, f"_stage-{uuid.uuid4().hex}")
 

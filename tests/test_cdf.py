@@ -137,8 +137,10 @@ def test_sink(spark, tmp_path):
     reader.register(spark)
     path = str(tmp_path / "out")
     df = spark.range(50).select(F.col("id").alias("rec"), (F.col("id") * 2).alias("n"), F.array(F.col("id") * 1.0, F.lit(1.0)).alias("pair"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("s"))
-    df.repartition(3).write.format("cdf").option("variableCompression", "gzip").mode("append").save(path)
+    df.repartition(3).write.format("cdf").option("variableCompression", "gzip").option("type.n", "CDF_INT4").mode("append").save(path)
     back = spark.read.format("cdf").load(path)
+    assert {r.cdf_type for r in reader.read_cdf(spark, path, "variables").where("name = 'n'").collect()} == {"CDF_INT4"}
+    assert {r.compression for r in reader.read_cdf(spark, path, "variables").collect()} == {"gzip"}
     own = lambda n, c, i=0: F.first(F.when(F.col("variable") == n, F.get(c, i)), ignorenulls=True)
     got = back.groupBy("file_id", "rec").agg(own("n", "v_long").alias("n"), own("pair", "v_double").alias("p"), own("s", "v_str").alias("s")).collect()
     assert sorted((r.n, r.p, r.s) for r in got) == sorted((2 * i, float(i), f"s{i}") for i in range(50))
