@@ -22,9 +22,9 @@ from .common import Scratch, bounded_batches
 STEP, HALF = 4, 128
 STEPS = HALF // STEP
 #: Most bytes whose responses are held at once; longer documents go in parts.
-PART = 1 << 20
+PART = 1 << 17
 #: Defaults of training: labelled rows at most, bytes of a row's window, epochs.
-SAMPLE, WINDOW, EPOCHS = 3000, 8192, 8
+SAMPLE, WINDOW, EPOCHS = 6000, 8192, 6
 
 
 def as_blocks(raw: bytes) -> np.ndarray:
@@ -44,7 +44,7 @@ class Net:
     shift: np.ndarray  # (1,)
 
     @classmethod
-    def random(cls, rng: np.random.Generator, e: int = 4, f: int = 16) -> Net:
+    def random(cls, rng: np.random.Generator, e: int = 4, f: int = 48) -> Net:
         n = lambda *s: rng.standard_normal(s).astype(np.float32)
         net = cls(n(256, e) * 0.5, n(2 * STEP * e, f) / np.sqrt(2 * STEP * e, dtype=np.float32), np.zeros(f, np.float32), n(2 * f) * 0.1, np.zeros(1, np.float32))
         net.table[0] = 0
