@@ -16,6 +16,7 @@ SECOND = 1_000_000_000
 EPOCH_MS = 62_167_219_200_000.0
 EPOCH_S = 62_167_219_200.0
 TT2000_NS = 946_727_967_816_000_000
+_MOST = (1 << 63) - 1
 # The days on which TAI - UTC grew by a second, from 10 s on the first.
 LEAP_DAYS = (
     "1972-01-01 1972-07-01 1973-01-01 1974-01-01 1975-01-01 1976-01-01 1977-01-01 1978-01-01 1979-01-01 1980-01-01 "
@@ -59,11 +60,13 @@ def leap_second_tt2000(tt: Column) -> Column:
 
 
 def tt2000_to_ns(tt: Column) -> Column:
-    return F.try_add(F.try_subtract(tt, leap_second_tt2000(tt)), big(TT2000_NS))
+    # one comparison keeps overflow out; checked additions would cost more per row
+    most = _MOST - TT2000_NS + TT2000_LEAPS[-1][1]
+    return F.when(tt <= big(most), tt - leap_second_tt2000(tt) + big(TT2000_NS))
 
 
 def ns_to_tt2000(ns: Column) -> Column:
-    return F.try_add(F.try_subtract(ns, big(TT2000_NS)), leap_second(ns))
+    return F.when(ns >= big(TT2000_NS - _MOST - 1), ns - big(TT2000_NS) + leap_second(ns))
 
 
 def epoch_to_ns(ms: Column) -> Column:

@@ -81,3 +81,10 @@ def test_floor_division(spark):
 def test_one_codegen_stage(spark, capsys):
     spark.range(5).select(t.ns_to_tt2000(F.col("id"))).explain()
     assert "*(1) Project" in capsys.readouterr().out
+
+
+def test_ends_of_the_range(spark):
+    most = (1 << 63) - 1
+    last = most - t.TT2000_NS + 37 * t.SECOND
+    got = one(spark, *[t.tt2000_to_ns(t.big(x)) for x in (last, last + 1, -most - 1)], *[t.ns_to_tt2000(t.big(x)) for x in (most, t.TT2000_NS - most - 1, t.TT2000_NS - most - 2)])
+    assert got == (most, None, -most - 1 + t.TT2000_NS, most - t.TT2000_NS + 37 * t.SECOND, -most - 1, None)
