@@ -19,56 +19,91 @@ def line_key(line: Column) -> Column:
 class LevelledRuns:
     """What is known of line hashes, as levels of runs sorted by hash.
 
-    A run is a Parquet table (h1, h2, n_docs, max_doc), one row per 128-bit hash,
-    range-partitioned and sorted by the hash; ``n_docs`` is null-free.  A batch
-    is merged with the runs and its own run is added to level 0; once a level
-    holds FANOUT runs they are merged into one run of the next, so a hash is
-    rewritten once per level and there are at most FANOUT - 1 runs per level."""
+    A run is a Parquet table (h1, h2, n_docs, max_doc), range-partitioned and sorted
+    by its 128-bit hash; each hash is in one run only.  A new batch is anti-joined
+    with the runs by a merge join: what none of them holds becomes its own run, on
+    level 0, and what is known already becomes an update (the same columns).  Once a
+    level holds ``fanout`` runs they become one run of the next level, and updates
+    are added up, so a hash is rewritten once per level and there are at most
+    fanout - 1 runs per level."""
 
     def __init__(self, scratch: Scratch, fanout: int = FANOUT):
         self.scratch, self.fanout = scratch, fanout
         self.levels: list[list[tuple[str, DataFrame]]] = []
+        self.updates: list[tuple[str, DataFrame]] = []
         self.made = 0
 
-    def _write(self, df: DataFrame, level: int) -> None:
-        name = f"run{self.made}-level{level}"
+    def _name(self, what: str) -> str:
         self.made += 1
+        return f"{what}{self.made}"
+
+    def _write(self, df: DataFrame, level: int) -> DataFrame:
         while len(self.levels) <= level:
             self.levels.append([])
-        run = df.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2")
-        self.levels[level].append((name, self.scratch.keep(run, name)))
-
-    def _merge(self, runs: list[DataFrame]) -> DataFrame:
-        both = runs[0]
-        for r in runs[1:]:
-            both = both.unionByName(r)
-        return both.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
-
-    def add(self, batch: DataFrame) -> None:
-        """Add the lines (h1, h2, doc_id) of documents that no run holds yet."""
+        name = self._name(f"level{level}-run")
+        run = self.scratch.keep(df.repartitionByRange("h1", "h2").sortWithinPartitions("h1", "h2"), name)
+        self.levels[level].append((name, run))
+        return run
+
+    @staticmethod
+    def _union(tables: list[DataFrame]) -> DataFrame:
+        out = tables[0]
+        for t in tables[1:]:
+            out = out.unionByName(t)
+        return out
+
+    def _added_up(self, tables: list[DataFrame]) -> DataFrame:
+        return self._union(tables).groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Add the lines (h1, h2, doc_id) of documents that no earlier batch held.
+        Gives the batch's run: its hashes that were not known before."""
         once = batch.select("h1", "h2", "doc_id").distinct()
-        self._write(once.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc")), 0)
+        own = once.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc"))
+        if not self.runs():
+            return self._write(own, 0)
+        name = self._name("batch")
+        own = self.scratch.keep(own, name)
+        run = self._write(self.unseen(own), 0)
+        known = self._name("update")
+        self.updates.append((known, self.scratch.keep(own.join(run.select("h1", "h2").hint("merge"), ["h1", "h2"], "left_anti"), known)))
+        self.scratch.drop(name)
+        self._compact()
+        return run
+
+    def _compact(self) -> None:
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
-            self._write(self._merge([r for _, r in old]), level + 1)
-            for name, _ in old:
-                self.scratch.drop(name)
+            self._write(self._union([r for _, r in old]), level + 1)
+            self._forget(old)
             level += 1
+        if len(self.updates) >= self.fanout:
+            old, name = self.updates, self._name("update")
+            self.updates = [(name, self.scratch.keep(self._added_up([u for _, u in old]), name))]
+            self._forget(old)
+
+    def _forget(self, tables: list[tuple[str, DataFrame]]) -> None:
+        for name, _ in tables:
+            self.scratch.drop(name)
+
+    def clear(self) -> None:
+        """Remove all tables; nothing may read them any more."""
+        for tables in [*self.levels, self.updates]:
+            self._forget(tables)
 
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels for _, r in level]
 
     def unseen(self, batch: DataFrame) -> DataFrame:
-        """The rows of a batch whose hash no run holds: an anti-join with each run,
-        which a sort-merge join answers from the runs' order."""
-        for run in self.runs():
-            batch = batch.join(run.select("h1", "h2"), ["h1", "h2"], "left_anti")
-        return batch
+        """The rows of a batch whose hash no run holds, by a merge anti-join."""
+        if not self.runs():
+            return batch
+        return batch.join(self._union([r.select("h1", "h2") for r in self.runs()]).hint("merge"), ["h1", "h2"], "left_anti")
 
     def merged(self) -> DataFrame:
-        """One row per hash over all runs."""
-        return self._merge(self.runs())
+        """One row per hash with its totals, over all runs and updates."""
+        return self._added_up([*self.runs(), *(u for _, u in self.updates)])
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4) -> DataFrame:
@@ -101,9 +136,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     lost = lost.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("lost"))
     lost = scratch.keep(lost.withColumnRenamed("doc_id", "lost_doc"), "lost")
     scratch.drop("held")
-    for level in runs.levels:
-        for name, _ in level:
-            scratch.drop(name)
+    runs.clear()
 
     rest = docs.drop("n_lines", "n_dropped", "kept_text", "lost", "lost_doc", "kept_lines", "all_lines")
     out = rest.join(lost, F.col("doc_id").cast("long").eqNullSafe(F.col("lost_doc")), "left").drop("lost_doc").withColumn("all_lines", lines)

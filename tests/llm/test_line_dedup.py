@@ -53,5 +53,9 @@ def test_runs_compact_and_answer(spark):
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     assert runs.merged().count() == 55
     assert runs.merged().where("n_docs = 2").count() == 20
+    # runs hold each hash once; what came again is in the updates
+    held = [r.h1 for run in runs.runs() for r in run.collect()]
+    assert sorted(held) == list(range(55))
+    assert sum(u.count() for _, u in runs.updates) == 20
     new = spark.range(50, 60).select(F.col("id").alias("h1"), F.lit(0).cast("bigint").alias("h2"))
     assert sorted(r.h1 for r in runs.unseen(new).collect()) == [55, 56, 57, 58, 59]
