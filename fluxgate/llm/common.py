@@ -36,6 +36,18 @@ def bounded_batches(spark: SparkSession, rows: int = 512, mb: int = 16) -> None:
             spark.conf.set(key, value)
 
 
+#: Input of a task that writes what it reads without a shuffle, where there are many.
+TASK_MB = 256
+
+
+def fewer_tasks(df: DataFrame) -> DataFrame:
+    """``df`` in three partitions per core, or in more of about TASK_MB each: a pass
+    over small splits would otherwise write a small file for each."""
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.coalesce(max(3 * spark.sparkContext.defaultParallelism, size // (TASK_MB << 20) + 1))
+
+
 class Scratch:
     """Intermediate tables, written as Parquet to the shared folder and read again.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, unit_interval, word_count
+from .common import Scratch, fewer_tasks, unit_interval, word_count
 
 #: Rows of a source that one window task ranks, on average.
 ROWS_PER_SLICE = 2_000
@@ -121,6 +121,6 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     names are replaced.  An empty table gives an empty result."""
     scratch = Scratch(docs.sparkSession, "mix")
     rest = docs.drop("size", "source_size", "target", "copies", "taken", "h", "ps", "certain", "f", "u", "q", "cut", "fit")
-    plan = mix_plan(scratch.keep(measured(rest), "small"), scratch, weights, most, seed)
+    plan = mix_plan(scratch.keep(measured(fewer_tasks(rest)), "small"), scratch, weights, most, seed)
     text = F.col("text").cast("string")
     return apply_plan(rest.withColumn("size", word_count(text)).withColumn("h", F.xxhash64(text)), plan, seed).drop("h")

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, Scratch, bounded_batches
+from .common import LOWER, UPPER, Scratch, bounded_batches, fewer_tasks
 from .graph import components
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -213,7 +213,7 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) ->
     scratch = Scratch(docs.sparkSession, "ngram")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
     longs = ", ".join(f"{c} long" for c in ("doc_id", "th", "n", "key", "w0", "w1", "w2", "w3"))
-    feats = scratch.keep(src.mapInArrow(_features(n, percent), f"{longs}, sketch array<long>, sigs array<long>"), "feats")
+    feats = scratch.keep(fewer_tasks(src).mapInArrow(_features(n, percent), f"{longs}, sketch array<long>, sigs array<long>"), "feats")
     nodes = feats.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("doc"), F.min(F.struct("doc_id", "th")).alias("row"), *[F.first(c).alias(c) for c in ("n", "w0", "w1", "w2", "w3")], F.first("sketch", ignorenulls=True).alias("sketch"))
 
     by_sig = Window.partitionBy("sig")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches
+from .common import Scratch, bounded_batches, fewer_tasks
 
 #: Rows of one length that one window task ranks, on average.
 ROWS_PER_BLOCK = 1_000
@@ -175,7 +175,7 @@ def pack(docs: DataFrame, capacity: int = 1024, vocabulary: str = "byte_bpe_50k.
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long"
     salt = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())
-    pieces = scratch.keep(src.mapInArrow(_pieces(vocabulary, capacity, end_id), kind).withColumn("salt", salt), "pieces")
+    pieces = scratch.keep(fewer_tasks(src).mapInArrow(_pieces(vocabulary, capacity, end_id), kind).withColumn("salt", salt), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     placed = segments(plan(counts, capacity))
     where = spark.createDataFrame(placed, "length long, rank_from long, rank_to long, first long, offset long")
