@@ -45,7 +45,8 @@ def fewer_tasks(df: DataFrame) -> DataFrame:
     over small splits would otherwise write a small file for each."""
     spark = df.sparkSession
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.coalesce(max(3 * spark.sparkContext.defaultParallelism, size // (TASK_MB << 20) + 1))
+    # where the size isn't known, it is given as beyond measure, and nothing changes
+    return df.coalesce(min(max(3 * spark.sparkContext.defaultParallelism, size // (TASK_MB << 20) + 1), (1 << 31) - 1))
 
 
 class Scratch:
