@@ -189,6 +189,14 @@ def latin1_repair(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("lang = 'fr'").select("doc_id", text.repair_latin1(F.encode(s, "UTF-8")).alias("utf8"), text.repair_latin1(latin1).alias("latin1"))
 
 
+@query("select doc_id, text as utf8, text as latin1 from documents")
+def latin1_repair_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Each whole text as UTF-8, and as Latin-1 where Latin-1 can hold it."""
+    raw = F.encode("text", "UTF-8")
+    latin1 = F.when(F.col("text").rlike(r"[^\x{0}-\x{FF}]"), raw).otherwise(F.encode("text", "ISO-8859-1"))
+    return table(spark, d, "documents").select("doc_id", text.repair_latin1(raw).alias("utf8"), text.repair_latin1(latin1).alias("latin1"))
+
+
 @query("select *, (select count(*) from orders) as total from (select o_orderkey, o_totalprice from orders order by o_orderkey limit 20)")
 def preview_limit(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
