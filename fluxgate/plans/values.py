@@ -181,6 +181,14 @@ def string_pad_trim(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", text.unpad(F.decode(raw, "UTF-8")).alias("text"), F.octet_length(s).alias("bytes"), F.octet_length(raw).alias("padded"))
 
 
+@query("select doc_id, regexp_replace(text, '\\s+$', '') as text, strlen(text)::INT as bytes, strlen(text)::INT + 160 as padded from documents")
+def string_pad_trim_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts, each in a variable 160 bytes wider than itself."""
+    size = F.octet_length("text")
+    raw = text.pad(F.col("text"), size + 160)
+    return table(spark, d, "documents").select("doc_id", text.unpad(F.decode(raw, "UTF-8")).alias("text"), size.alias("bytes"), F.octet_length(raw).alias("padded"))
+
+
 @query("select doc_id, substr(text, 1, 60) as utf8, substr(text, 1, 60) as latin1 from documents where lang = 'fr'")
 def latin1_repair(spark: SparkSession, d: str) -> DataFrame:
     s = F.substring("text", 1, 60)
