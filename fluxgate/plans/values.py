@@ -233,6 +233,15 @@ def rle_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return packed.select("doc_id", "bytes", back.alias("back"))
 
 
+@query("select doc_id, strlen(text)::INT as bytes, text as back from documents")
+def rle_roundtrip_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts through the codec, with runs of NULs for their spaces."""
+    raw = F.encode(F.replace("text", F.lit(" "), F.lit("\0\0\0")), "UTF-8")
+    packed = table(spark, d, "documents").select("doc_id", F.octet_length("text").alias("bytes"), codec.rle_deflate_column(raw).alias("packed"))
+    back = F.replace(F.decode(codec.rle_inflate_column(F.col("packed")), "UTF-8"), F.lit("\0\0\0"), F.lit(" "))
+    return packed.select("doc_id", "bytes", back.alias("back"))
+
+
 @query("select event_id, rpad(event_type, 10, ' ') as label, [trim(substr(rpad(event_type, 10, ' '), 1, 5)), trim(substr(rpad(event_type, 10, ' '), 6, 5))] as halves from events")
 def label_split(spark: SparkSession, d: str) -> DataFrame:
     label = F.rpad("event_type", 10, " ")

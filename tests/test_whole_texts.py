@@ -30,3 +30,8 @@ def test_pad_trim(spark, docs):
     for i, x in enumerate(TEXTS):
         n = None if x is None else len(x.encode())
         assert (got[i].text, got[i].bytes, got[i].padded) == (x and x.rstrip(), n, None if n is None else n + 160)
+
+
+def test_rle_roundtrip(spark, docs):
+    got = run(spark, docs, "rle_roundtrip_whole")
+    assert [(got[i].bytes, got[i].back) for i in range(len(TEXTS))] == [(None if x is None else len(x.encode()), x) for x in TEXTS]
