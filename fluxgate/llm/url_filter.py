@@ -38,25 +38,40 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+def without_dots(path: Column) -> Column:
+    """A path or an address without its ``.`` and ``..`` segments."""
+    head = F.regexp_extract(path, r"(?s)^([^/?#]*://[^/?#]*)?", 0)
+    tail = F.regexp_extract(path, r"(?s)[?#].*$", 0)
+    parts = F.split(F.substring(path, F.length(head) + 1, F.length(path) - F.length(head) - F.length(tail)), "/")
+    # the first part is empty: it stands for the root, above which nothing is
+    kept = lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))).otherwise(F.concat(a, F.array(x)))
+    out = F.aggregate(parts, F.array().cast("array<string>"), kept)
+    out = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(out, F.array(F.lit("")))).otherwise(out)
+    return F.when(path.rlike(r"^[^?#]*/\.\.?(?:[/?#]|$)"), F.concat(head, F.array_join(out, "/"), tail)).otherwise(path)
+
+
 def node_key(url: Column) -> Column:
-    """What two spellings of one address share: host, path without closing slash,
-    and query; scheme, fragment and default port do not count.  Null for no URL."""
+    """What two spellings of one address share: host, path without dot segments and
+    closing slash, and query; scheme, fragment and default port do not count.  Null for no URL."""
     host, path = split_url(url)
     query = F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)
-    return F.when(F.locate("://", url) > 0, F.concat(F.regexp_replace(host, r":(80|443)$", ""), F.regexp_replace(path, r"/+$", ""), query))
+    return F.when(F.locate("://", url) > 0, F.concat(F.regexp_replace(host, r":(80|443)$", ""), F.regexp_replace(without_dots(path), r"/+$", ""), query))
 
 
 def resolve(base: str, link: str) -> Column:
-    """The absolute form of the link in a column, found in the page of a column."""
+    """The absolute form of the link in a column, found in the page of a column; dot
+    segments stay."""
     base, link = F.col(base), F.col(link)
     scheme = F.regexp_extract(base, r"(?s)^(.*?)://", 1)
     origin = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
+    own = F.regexp_extract(base, r"(?s)^(.*?://[^?#]*)", 1)
     folder = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*(?:/[^?#]*/|/)?)", 1)
     return (
         F.when((link == "") | link.startswith("#"), F.lit(None).cast("string"))
         .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
         .when(link.startswith("/"), F.concat(origin, link))
+        .when(link.startswith("?"), F.concat(own, link))
         .when(folder.endswith("/"), F.concat(folder, link))
         .otherwise(F.concat(folder, F.lit("/"), link))
     )
@@ -101,7 +116,7 @@ def judge_urls(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES
     links = page_links(pages, scratch)
     if redirects is not None:
         links = links.unionByName(redirects.select(F.col("url").cast("string").alias("url"), F.col("target").cast("string").alias("target")))
-    links = scratch.keep(links.distinct(), "absolute").select("url", "target", node_key(F.col("url")).alias("from"), node_key(F.col("target")).alias("to")).where("`from` is not null and `to` is not null")
+    links = scratch.keep(links.distinct(), "absolute").select("url", without_dots(F.col("target")).alias("target"), node_key(F.col("url")).alias("from"), node_key(F.col("target")).alias("to")).where("`from` is not null and `to` is not null")
     links = scratch.keep(links.distinct(), "links")
     edges = links.select(F.xxhash64("from").alias("a"), F.xxhash64("to").alias("b"))
     label = components(edges, scratch)

@@ -54,3 +54,21 @@ def test_long_chain(spark):
     rows = [(f"http://c{i}.org/", f'<link rel="canonical" href="http://c{i + 1}.org/">') for i in range(60)] + [("http://c60.org/", '<link rel="canonical" href="http://q.net/es/">')]
     got = verdicts(spark, rows)
     assert all(r.verdict == "block" for r in got.values()) and len({r.component for r in got.values()}) == 1
+
+
+def test_relative_links(spark):
+    canon = lambda u: f'<link rel="canonical" href="{u}">'
+    rows = [
+        ("http://a.org/b/c.html", canon("?p=2")),
+        ("http://a.org/b/c.html?p=2", canon("http://bad.net/es/1")),
+        ("http://a.org/b/d.html", canon("../x")),
+        ("http://a.org/x", canon("/y/./z/../../../w/..")),
+        ("http://a.org/", canon("http://bad.net/es/1")),
+        ("http://free.org/1", canon("http://bad.net/es/../x")),
+        ("http://free.org/2", canon("http://bad.net/de/?q=/../es/")),
+        ("http://late.org/1", canon("http://bad.net/de/../es/2")),
+        ("http://a.org?k", canon("?p=3")),
+        ("http://a.org?p=3", canon("./b/./c.html#part")),
+    ]
+    got = verdicts(spark, rows)
+    assert [got[i].verdict for i in range(len(rows))] == ["block", "block", "block", "block", "block", "allow", "allow", "block", "block", "block"]
