@@ -214,7 +214,8 @@ def exact_top_k(rows: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     Vectors that are null or empty, or hold a null or non-finite component, take no
     part, nor do rows without vec_id; a vector meets vectors of its own length.
     Rows with the query's vec_id are the query's own.  Repeated rows count as
-    candidates each; a repeated query is asked once, with its least vector.
+    candidates each; a repeated query is asked once, with the least of
+    its vectors that take part.
     Components beyond +-2^27 count as that.  An empty table gives an empty result.
 
     Row blocks and query groups form a grid; a task holds one cell of it, at most
@@ -224,7 +225,8 @@ def exact_top_k(rows: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     kind = "dim int, ids binary, data binary"
     number = lambda df, per: df.withColumn("at", F.row_number().over(Window.partitionBy("dim").orderBy("first")) - 1).withColumn("at", F.floor(F.col("at") / per))
     index = scratch.keep(rows.mapInArrow(_pack(BLOCK), kind).withColumn("part", F.monotonically_increasing_id()), "index")
-    asked = rows.where((F.pmod("vec_id", F.lit(every)) == 0) & F.col("embedding").isNotNull()).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    asked = rows.where((F.pmod("vec_id", F.lit(every)) == 0) & (F.size("embedding") > 0) & finite).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     asked = scratch.keep(asked.mapInArrow(_pack(CELL_QUERIES // 8), kind).withColumn("part", F.monotonically_increasing_id()), "queries")
     # only the blocks' numbers are ranked in one task, one small row for each block
     place = lambda df, per: df.join(number(df.select("dim", F.col("part").alias("first")), per).withColumnRenamed("first", "part"), ["dim", "part"])

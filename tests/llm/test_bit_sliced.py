@@ -67,3 +67,10 @@ def test_few_rows_are_resolved():
     rows = np.floor(rng.standard_normal((4096, 64)) / 8 * 1024).astype(np.int64)
     block = B.Block(np.arange(4096), rows)
     assert len(B.block_top(block, rows[5], 5, 10, None)[0]) < 400
+
+
+def test_repeated_query_with_an_odd_copy(spark):
+    odd = [None, [], [None, 5.0], [float("-inf"), 1.0], [float("nan"), 1.0]]
+    rows = [(100 * i, v) for i, v in enumerate(odd)] + [(100 * i, [1.0, float(i)]) for i in range(len(odd))] + [(1, [2.0, 1.0]), (2, [0.0, 3.0])]
+    got = B.exact_top_k(frame(spark, rows), every=100, k=3).collect()
+    assert sorted(tuple(r) for r in got) == brute(rows, 100, 3) and {r[0] for r in got} == {0, 100, 200, 300, 400}
