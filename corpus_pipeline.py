@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fluxgate.llm.common import Scratch, table
 from fluxgate.llm.line_dedup import dedup_lines
 from fluxgate.llm.mixing import mix_sources
-from fluxgate.llm.ngram_join import ngram_jaccard_components
+from fluxgate.llm.ngram_join import near_copy_groups
 from fluxgate.llm.packing import pack
 from fluxgate.llm.quality_cnn import quality_scores
 
@@ -30,10 +30,15 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest doc_id stays."""
-    groups = ngram_jaccard_components(docs)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stay")).distinct()
-    out = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stay")), "left_semi").withColumn("text_hash", F.xxhash64("text"))
+    """Of each group of linked documents, the one with the smallest doc_id stays, and of
+    several such texts the one with the smallest hash; a null doc_id comes last.  Of rows
+    without words, one stays for each doc_id and text."""
+    groups = near_copy_groups(docs)
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("stay"), F.col("text_hash").alias("stay_hash"))
+    stay = groups.where("root is not null").groupBy("root").agg(F.min(row).alias("row")).select("row.stay", "row.stay_hash")
+    stay = stay.union(groups.where("root is null").select("doc_id", "text_hash").distinct())
+    out = docs.withColumn("text_hash", F.xxhash64("text"))
+    out = out.join(stay, F.col("doc_id").eqNullSafe(F.col("stay")) & (F.col("text_hash") == F.col("stay_hash")), "left_semi")
     return out.dropDuplicates(["doc_id", "text_hash"]).select(docs.columns)
 
 

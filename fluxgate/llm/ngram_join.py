@@ -207,6 +207,13 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) ->
     Null and empty texts: n_shingles 0, own component.  A null doc_id never is a
     component's name unless all its members are null.  Repeated rows come out
     repeated.  Other columns are ignored; an empty table gives an empty result."""
+    return near_copy_groups(docs, n, percent).drop("text_hash", "root")
+
+
+def near_copy_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """``ngram_jaccard_components`` with, for each row, text_hash (xxhash64 of its text)
+    and root, the key of its component whatever the doc_ids; null for a text without
+    words, which is alone."""
     if not 70 <= percent <= 100:
         raise ValueError("percent: from 70 to 100; a pair must lie in one size band or in adjacent ones")
     bounded_batches(docs.sparkSession)
@@ -268,6 +275,6 @@ def ngram_jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80) ->
 
     named = nodes.select("key", "doc").join(label.withColumnRenamed("id", "key"), "key", "left").withColumn("root", F.coalesce("label", "key"))
     least = named.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = named.select("key", "root").join(least, "root").select("key", "component_id")
-    out = feats.select("doc_id", F.col("n").alias("n_shingles"), "key").join(named, "key", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = named.select("key", "root").join(least, "root").select("key", "root", "component_id")
+    out = feats.select("doc_id", F.col("th").alias("text_hash"), F.col("n").alias("n_shingles"), "key").join(named, "key", "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash", "root")

@@ -46,3 +46,16 @@ def test_empty_documents(spark, sf):
     none = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 0")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, sf).collect() == []
+
+
+def test_one_of_near_copies_stays_whatever_the_ids(spark, sf, documents):
+    text = lambda w: " ".join(f"{w}{i}" for i in range(60))
+    rows = [(i, text(w) + end) for i, w, end in [
+        (None, "a", ""), (None, "a", " one"), (None, "a", " two"),
+        (None, "b", ""), (7, "b", " one"), (8, "b", " two"),
+        (9, "c", ""), (9, "c", " one"), (9, "c", " one"),
+        (None, "alone", ""), (9, "other", ""),
+    ]] + [(10, ""), (10, ""), (11, " ")]
+    got = corpus_pipeline.keep_one_of_near_copies(spark, documents(rows), sf).collect()
+    assert Counter((r.text or "").split("0")[0] for r in got) == {"a": 1, "b": 1, "c": 1, "alone": 1, "other": 1, "": 1, " ": 1}
+    assert [r.doc_id for r in got if r.text.startswith("b0")] == [7]
