@@ -28,14 +28,14 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]")
-_TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 #: Tokens that can be labelled; all others are outside by the model's constraint.
 _OPEN = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
 #: What does not belong to a span at a token's ends.
 _TRIM_LEFT, _TRIM_RIGHT = "\"'`<[{,;:!?*#$%&|~_=/\\", "\"'`>]},;:!?*#$%&|~_=/\\."
 LABELS = ("O", *KINDS)
-#: Results that a remembered function keeps.
-MEMORY = 50_000
+#: Results that a remembered function keeps, and characters of an argument it keeps
+#: (a longer one is worked out each time).
+MEMORY, SHORT = 50_000, 200
 #: Feature slots; features are hashed into them.
 SLOTS = 1 << 12
 
@@ -92,6 +92,8 @@ class remembered:
         try:
             return self.got[x]
         except KeyError:
+            if len(x) > SHORT:
+                return self.f(x)
             if len(self.got) >= MEMORY:
                 self.got.clear()
             self.got[x] = y = self.f(x)
@@ -100,7 +102,6 @@ class remembered:
 
 def shape(token: str) -> str:
     """Digits as 9 with their run's length up to 6, letters as a or A, runs once."""
-    token = token[:80]
     token = re.sub(r"[0-9]+", lambda m: f"9{min(len(m[0]), 6)}", token)
     return re.sub(r"[^\W\d_A-Z]+", "a", re.sub(r"[A-Z]+", "A", token))
 
@@ -108,7 +109,7 @@ def shape(token: str) -> str:
 @remembered
 def own_features(token: str) -> tuple[str, ...]:
     core = token.strip(_TRIM_LEFT + _TRIM_RIGHT)
-    digits = re.sub(r"\D", "", core[:200])
+    digits = re.sub(r"\D", "", core)
     parts = core.split(".")
     ip = len(parts) == 4 and all(p.isdigit() and p.isascii() and len(p) <= 3 and int(p) <= 255 for p in parts)
     card = 13 <= len(digits) <= 19 and not re.search("[^0-9 -]", core) and luhn(digits)
@@ -157,16 +158,20 @@ class Field:
 
     def decode(self, chains: list[list[list[int]]]) -> list[list[int]]:
         """Viterbi over all chains at once: the best labels of each."""
-        scores, n = self.padded(chains)
-        b, t, k = scores.shape
-        best = scores[:, 0] + self.move[0]
+        n = np.array([len(c) for c in chains])
+        b, t, k = len(chains), int(n.max()), len(LABELS)
         back = np.zeros((t + 1, b, k), np.int8)
-        for i in range(1, t + 1):
+        for i in range(t + 1):
+            if i < t and i % PART == 0:
+                scores, _ = self.padded([c[i : i + PART] for c in chains])
+            own = scores[:, i % PART] if i < t else np.r_[0.0, [-1e9] * (k - 1)]
+            if i == 0:
+                best = own + self.move[0]
+                continue
             step = best[:, :, None] + self.move[None]
             # a finished chain keeps its best final label through O
             back[i] = step.argmax(axis=1)
-            new = step.max(axis=1) + (scores[:, i] if i < t else np.r_[0.0, [-1e9] * (k - 1)])
-            best = new
+            best = step.max(axis=1) + own
         labels = np.zeros((b, t), np.int8)
         last = np.zeros(b, np.int64)
         for i in range(t, 0, -1):
@@ -282,9 +287,10 @@ def trained(table: list[tuple[list[str], list[str]]]) -> Field:
     return Field().fit(chains, labels) if chains else Field()
 
 
-#: Tokens of one chain that are decoded together; a longer run of open tokens is a
-#: table of numbers, and goes in parts of this length.
-LONGEST = 64
+#: Tokens of a chain whose scores are held at a time (the best scores and the back
+#: pointers go on from part to part), and chains and padded tokens of a batch; one
+#: chain may be longer.
+PART, CHAINS, CELLS = 1024, 2048, 1 << 17
 
 
 def open_chains(text: str) -> Iterator[tuple[list[tuple[int, int]], list[list[int]]]]:
@@ -292,14 +298,11 @@ def open_chains(text: str) -> Iterator[tuple[list[tuple[int, int]], list[list[in
     group: list[tuple[int, int]] = []
 
     def close() -> tuple[list[tuple[int, int]], list[list[int]]]:
-        a, b = group[0][0], group[-1][1]
-        before = _LAST.search(text, max(0, a - 100), a)
-        after = _TOKEN.search(text, b, b + 100)
-        got = slots([text[x:y] for x, y in group], before[0] if before else "", after[0] if after else "")
-        return list(group), got
+        # the tokens around a chain are closed, which all look alike to it
+        return list(group), slots([text[x:y] for x, y in group], "", "")
 
     for m in _OPEN.finditer(text):
-        if group and (len(group) == LONGEST or text[group[-1][1] : m.start()].strip(" \t\n\x0b\x0c\r")):
+        if group and text[group[-1][1] : m.start()].strip(" \t\n\x0b\x0c\r"):
             yield close()
             group = []
         group.append(m.span())
@@ -307,9 +310,6 @@ def open_chains(text: str) -> Iterator[tuple[list[tuple[int, int]], list[list[in
         yield close()
 
 
-_LAST = re.compile(r"[^\x20\x09-\x0D]+(?=[\x20\x09-\x0D]*\Z)")
-
-
 def added_spans(field: Field, texts: list[str]) -> list[list[tuple[str, int, int]]]:
     """The field's spans of each text: runs of tokens of one label, without the
     punctuation at their ends."""
@@ -317,8 +317,12 @@ def added_spans(field: Field, texts: list[str]) -> list[list[tuple[str, int, int
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     # chains of like length share a batch, so that padding stays small
     order = sorted(range(len(found)), key=lambda j: len(found[j][2]))
-    for at in range(0, len(order), 2048):
-        own = order[at : at + 2048]
+    at = 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and end - at < CHAINS and (end - at + 1) * len(found[order[end]][2]) <= CELLS:
+            end += 1
+        own, at = order[at:end], end
         for j, labels in zip(own, field.decode([found[j][2] for j in own]), strict=True):
             i, spans, _ = found[j]
             t, k = texts[i], 0

@@ -103,3 +103,24 @@ def test_untrained_field_adds_nothing(documents):
 def test_digest():
     assert P.span_text([("email", 1, 5), ("ip", 7, 9)]) == "email:1:5,ip:7:9"
     assert P.base_digest([]) == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def test_long_runs_are_decoded_whole(monkeypatch):
+    f = P.trained(P.labelled_table())
+    for n in range(60, 68):
+        numbers = ["a@b.com"] * n
+        tokens = [*numbers, "(555)", "123-4567", *numbers]
+        text = " ".join(tokens)
+        labels = f.decode([P.slots(tokens, "", "")])[0]
+        at = len(" ".join(numbers)) + 1
+        assert labels[n : n + 2] == [P.LABELS.index("phone")] * 2
+        assert ("phone", at, at + 14) in P.added_spans(f, [text])[0]
+    whole = P.added_spans(f, [text, text * 3])
+    monkeypatch.setattr(P, "PART", 7)
+    monkeypatch.setattr(P, "CELLS", 100)
+    assert P.added_spans(f, [text, text * 3]) == whole
+
+
+def test_features_see_whole_tokens():
+    assert P.shape("ab-" * 40 + "7") != P.shape("ab-" * 40 + "x")
+    assert "n=1" in P.own_features("x" * 300 + "7y")
