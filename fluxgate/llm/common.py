@@ -49,6 +49,31 @@ def fewer_tasks(df: DataFrame) -> DataFrame:
     return df.coalesce(min(max(3 * spark.sparkContext.defaultParallelism, size // (TASK_MB << 20) + 1), (1 << 31) - 1))
 
 
+#: Words of 64 bits of a filter table at most: its broadcast is bounded by them.
+FILTER_WORDS = 1 << 18
+
+
+def _filter_place(h: Column) -> tuple[Column, Column]:
+    """(word, bit) of a 64-bit hash in a filter table."""
+    bit = F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("int")
+    return F.pmod(h, F.lit(FILTER_WORDS)), F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+
+
+def filter_table(hashes: DataFrame, name: str) -> DataFrame:
+    """A one-hash Bloom filter of the column ``name`` (64-bit hashes) as a table of
+    at most FILTER_WORDS rows, whatever the number of hashes: safe to broadcast."""
+    word, bit = _filter_place(F.col(name))
+    return hashes.where(F.col(name).isNotNull()).groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits"))
+
+
+def maybe_in(rows: DataFrame, h: Column, table: DataFrame, outside: bool = False) -> DataFrame:
+    """The rows whose hash may be in a ``filter_table`` (or those that surely are
+    not).  The more hashes it holds, the less it holds back; what follows decides."""
+    word, bit = _filter_place(h)
+    hit = rows.join(F.broadcast(table), word == F.col("_word"), "left").withColumn("_hit", F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False)))
+    return hit.where(~F.col("_hit") if outside else F.col("_hit")).drop("_word", "_bits", "_hit")
+
+
 class Scratch:
     """Intermediate tables, written as Parquet to the shared folder and read again.
 
