@@ -95,6 +95,15 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def aside(df: DataFrame, *own: str, new: tuple[str, ...] = ()) -> tuple[DataFrame, list[Column]]:
+    """``df`` with all columns but ``own`` under private names, so that they can't clash
+    with an operator's, and the columns that give them back under their own names.
+    Columns that bear one of the ``new`` names are left out of these."""
+    names = df.columns
+    private = [c if c in own else f"_aside{i}" for i, c in enumerate(names)]
+    return df.toDF(*private), [F.col(p).alias(c) for p, c in zip(private, names, strict=True) if c.lower() not in new]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

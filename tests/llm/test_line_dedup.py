@@ -49,13 +49,36 @@ def test_empty(documents):
 def test_runs_compact_and_answer(spark):
     runs = LevelledRuns(Scratch(spark, "t"), fanout=2)
     for b in range(5):
-        runs.add(spark.range(b * 10, b * 10 + 15).select(F.col("id").alias("h1"), F.lit(0).cast("bigint").alias("h2"), F.lit(b).cast("bigint").alias("doc_id")))
+        runs.add(spark.range(b * 10, b * 10 + 15).select(F.col("id").alias("h1"), F.xxhash64("id").alias("h2"), F.lit(b).cast("bigint").alias("doc_id")))
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     assert runs.merged().count() == 55
     assert runs.merged().where("n_docs = 2").count() == 20
     # runs hold each hash once; what came again is in the updates
-    held = [r.h1 for run in runs.runs() for r in run.collect()]
+    held = [r.h1 for run in runs.runs() for r in runs.table(run).collect()]
     assert sorted(held) == list(range(55))
-    assert sum(u.count() for _, u in runs.updates) == 20
-    new = spark.range(50, 60).select(F.col("id").alias("h1"), F.lit(0).cast("bigint").alias("h2"))
+    assert sum(runs.table(u).count() for u in runs.updates) == 20
+    new = spark.range(50, 60).select(F.col("id").alias("h1"), F.xxhash64("id").alias("h2"))
     assert sorted(r.h1 for r in runs.unseen(new).collect()) == [55, 56, 57, 58, 59]
+
+
+def test_merge_anti_join_leaves_the_runs_in_place(spark):
+    runs = LevelledRuns(Scratch(spark, "t"), fanout=4)
+    for b in range(3):
+        runs.add(spark.createDataFrame([(i, i * 7919, b + i % 2) for i in range(b * 10, b * 10 + 15)], "h1 long, h2 long, doc_id long"))
+    with runs._planned():
+        plan = runs.unseen(runs.table(runs.runs()[0]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and "Exchange" not in plan and "Sort [" not in plan
+    runs.clear()
+
+
+def test_long_document_of_common_lines(documents):
+    lines = [f"common line number {i} of many" for i in range(20_000)]
+    rows = [(d, "\n".join(lines)) for d in range(3)] + [(9, "\n".join(f"own line number {i} of many" for i in range(20_000))), (None, lines[0]), (None, "x" * 1_000_000), (10, "\n" * 200_000)]
+    assert results(documents(rows)) == brute(rows)
+
+
+def test_columns_that_clash(documents):
+    rows = [(d, "a line that is common to all\nown " + str(d)) for d in range(3)]
+    names = ("lost", "all_lines", "kept_lines", "line", "pos", "th", "k", "h1", "_lost", "_d", "batch")
+    got = dedup_lines(documents(rows, **{n: n.upper() for n in names}, n_lines="old"))
+    assert all(r[n] == n.upper() for r in got.collect() for n in names) and {r.n_lines for r in got.collect()} == {2}
