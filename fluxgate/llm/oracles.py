@@ -34,7 +34,8 @@ _ATTR = r"""\s*=\s*["'']?([^"''\s>]+)"""
 OP1 = rf"""
 with recursive p as (select page_id, url, html, {_host('coalesce(url, chr(0))')} as host, {_path('coalesce(url, chr(0))')} as path, {_node('url')} as node from pages),
 j as (select page_id, host, path, node, {_rule_case('host', 'path', 'rule')} as rule, {_rule_case('host', 'path', 'verdict')} as own from p),
-tags as (select url, unnest(list_concat(regexp_extract_all(html, '(?i)(<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>)', 1), regexp_extract_all(html, '(?i)(<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>)', 1))) as tag from p),
+tags as (select url, tag from (select url, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\b[^<>]*>')) as tag from p)
+  where regexp_matches(tag, '(?is)^<link.*\brel\s*=\s*["'']?canonical\b') or regexp_matches(tag, '(?is)^<meta.*\bhttp-equiv\s*=\s*["'']?refresh\b')),
 links as (select url, case when tag ilike '<link%' then regexp_extract(tag, '(?i)\bhref{_ATTR}', 1) else regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''>\s]+)', 1) end as link from tags),
 absolute as (select url, case when link = '' or starts_with(link, '#') then null when regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') then link when starts_with(link, '//') then split_part(url, '://', 1) || ':' || link
   when starts_with(link, '/') then regexp_extract(url, '^.*?://[^/?#]*') || link else regexp_replace(regexp_extract(url, '^.*?://[^/?#]*(?:/[^?#]*/|/)?'), '/?$', '/') || link end as target from links),
@@ -89,21 +90,29 @@ reach(i, j) as (select doc_id, doc_id from documents union select r.i, u.b from
 select d.doc_id, coalesce(n.n, 0)::BIGINT as n_shingles, c.component_id from documents d left join n using (doc_id) join (select i as doc_id, min(j) as component_id from reach group by 1) c using (doc_id)"""
 
 OP10 = rf"""
-with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORD}))::BIGINT as size, text, (('0x' || substr(md5(doc_id || '|mix'), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 as u from documents),
+with d as (select doc_id, source, size, floor(sqrt(size) * 16)::BIGINT as w, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || h || '|mix'), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 as u
+  from (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORD}))::BIGINT as size, md5(coalesce(text, '')) as h from documents)),
 s as (select source, sum(size)::BIGINT as source_size, 1 + (row_number() over (order by source is null, encode(source)) - 1) % 3 as weight from d group by 1),
 c as (select *, 3 * source_size as cap from s),
 o as (select *, sum(source_size) over () - coalesce(sum(cap) over (order by cap / weight, source is null, encode(source) rows between unbounded preceding and 1 preceding), 0) as lft,
   sum(weight) over () - coalesce(sum(weight) over (order by cap / weight, source is null, encode(source) rows between unbounded preceding and 1 preceding), 0) as ws from c),
 p as (select *, cap * ws <= weight * lft as stops from o),
 t as (select source, source_size, case when stops then cap::DOUBLE else weight::DOUBLE * (sum(source_size) over () - coalesce(sum(cap) filter (stops) over (), 0))::BIGINT / (sum(weight) filter (not stops) over ())::BIGINT end as target from p),
-r as (select *, floor(least(3.0, target / nullif(source_size, 0)))::BIGINT as certain from t),
-q as (select d.doc_id, d.source, size, source_size, target, coalesce(certain, 0) as certain, target - coalesce(certain, 0) * source_size as more, least(3.0, target / nullif(source_size, 0)) - certain as f, u from d join r on d.source is not distinct from r.source),
-x as (select *, case when f > 0 and f < 1 then (u / (1 - u)) / (f / (1 - f)) end as odds from q),
-y as (select *, sum(size) over (partition by source order by odds, doc_id rows unbounded preceding) as upto from x where odds is not null),
+k as (select d.source, w, any_value(target) as target, sum(size)::BIGINT as words from d join t on d.source is not distinct from t.source where size > 0 group by 1, 2),
+l as (select source, w, (target - 3 * coalesce(sum(words) over (partition by source order by w desc rows between unbounded preceding and 1 preceding), 0)::BIGINT)
+  / (sum(words * w) over (partition by source order by w desc rows between current row and unbounded following))::BIGINT as rate from k),
+r as (select source, coalesce(arg_max(rate, w) filter (rate * w < 3 - 1e-9), 3.0::DOUBLE) as rate from l group by 1),
+q as (select d.doc_id, d.source, size, source_size, target, u, case when size > 0 then least(3.0::DOUBLE, rate * w) else 0.0::DOUBLE end as e from d join t on d.source is not distinct from t.source left join r on d.source is not distinct from r.source),
+x as (select *, floor(e)::BIGINT as certain, case when e > floor(e) then (u / (1 - u)) / ((e - floor(e)) / (1 - (e - floor(e)))) end as odds from q),
+m as (select source, any_value(target) - sum(certain * size)::BIGINT as more from x group by 1),
+y as (select x.*, more, sum(size) over (partition by x.source order by odds, doc_id rows unbounded preceding) as upto from x join m on x.source is not distinct from m.source where odds is not null),
 z as (select *, upto <= more as taken_whole from y),
 g as (select source, any_value(more) - coalesce(max(upto) filter (taken_whole), 0) as gap from z group by 1),
-h as (select z.source, arg_min(z.doc_id, (abs(gap - size), odds, z.doc_id)) as fit from z join g on z.source is not distinct from g.source where not taken_whole and abs(gap - size) < gap group by 1)
-select x.doc_id, x.size, x.source_size, x.target, (x.certain + (coalesce(z.taken_whole, false) or coalesce(h.fit = x.doc_id, false))::INT) * x.size as taken from x left join z on z.doc_id = x.doc_id left join h on h.source is not distinct from x.source"""
+h as (select z.source, arg_min((z.doc_id, size), (abs(gap - size), odds, z.doc_id)) as fit, any_value(gap) as gap from z join g on z.source is not distinct from g.source where not taken_whole and abs(gap - size) < gap group by 1),
+i as (select source, fit[1] as doc, gap - fit[2] as gap from h),
+j as (select z.source, arg_min(z.doc_id, (abs(gap - size), odds, z.doc_id)) as doc from z join i on z.source is not distinct from i.source where not taken_whole and z.doc_id <> i.doc and abs(gap - size) < gap group by 1)
+select x.doc_id, x.size, x.source_size, x.target, (x.certain + (coalesce(z.taken_whole, false) or coalesce(i.doc = x.doc_id, false) or coalesce(j.doc = x.doc_id, false))::INT) * x.size as taken
+  from x left join z on z.doc_id = x.doc_id left join i on i.source is not distinct from x.source left join j on j.source is not distinct from x.source"""
 
 ORACLES = {
     "op1_redirect_url_filter": OP1,

@@ -81,14 +81,15 @@ def page_links(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """(url, target): canonical links and meta refreshes of the pages' HTML.  The few
     raw links are written first; one expression for all would be too long to compile."""
     html = F.col("html").cast("string")
-    tags = F.array_union(
-        F.regexp_extract_all(html, F.lit(r"(?i)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)"), F.lit(1)),
-        F.regexp_extract_all(html, F.lit(r"(?i)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)"), F.lit(1)),
-    )
+    # a tag ends before the next one begins, so even unclosed ones are read once
+    tags = F.regexp_extract_all(html, F.lit(r"(?i)<(?:link|meta)\b[^<>]*+>"), F.lit(0))
+    canonical = lambda t: t.rlike(r"(?is)^<link.*\brel\s*+=\s*+[\"']?canonical\b")
+    refresh = lambda t: t.rlike(r"(?is)^<meta.*\bhttp-equiv\s*+=\s*+[\"']?refresh\b")
+    tags = F.filter(tags, lambda t: canonical(t) | refresh(t))
     found = pages.select(F.col("url").cast("string").alias("url"), F.explode(tags).alias("tag"))
     href = F.concat(*[F.regexp_extract("tag", rf"(?i)\bhref{_ATTR}", i) for i in (1, 2, 3)])
-    refresh = F.regexp_extract("tag", r"""(?i)\burl\s*=\s*['"]?([^'">\s]+)""", 1)
-    link = F.regexp_replace(F.when(F.col("tag").rlike("(?i)^<link"), href).otherwise(refresh), "&amp;", "&")
+    moved = F.regexp_extract("tag", r"""(?i)\burl\s*=\s*['"]?([^'">\s]+)""", 1)
+    link = F.regexp_replace(F.when(F.col("tag").rlike("(?i)^<link"), href).otherwise(moved), "&amp;", "&")
     raw = scratch.keep(found.select("url", F.trim(link).alias("link")).distinct(), "raw")
     return raw.select("url", resolve("url", "link").alias("target")).where("target is not null")
 
@@ -99,42 +100,42 @@ def judge_urls(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES
 
     A url that a rule fits has that rule's verdict: an explicit allow stays an allow
     among blocked aliases, and a block stays a block.  The method judges the others.
-    Urls are nodes (see ``node_key``); canonical links, meta refreshes and the
-    given ``redirects`` (url, target) are edges, whose connected components are
-    found by distributed contraction.  In a component, an explicit allow has
-    precedence over blocks; without one, a block reaches all aliases; else: allow.
-    component is the number of the url's component, null where it has no alias.
+    Urls are nodes as they are written.  Edges are canonical links, meta refreshes, the
+    given ``redirects`` (url, target), and for every url that has another spelling among
+    the pages or links, one to the spelling that they share (see ``node_key``).  The
+    connected components over these edges are found by distributed contraction; nodes
+    are told apart by 128 bits.  In a component, an explicit allow has precedence over
+    blocks; without one, a block reaches all aliases; else: allow.  component is the
+    url's component, null where it has no alias.
 
     A null url, or one without ``://``, has empty host and path, no rule and no
     alias, and is allowed.  A link target need not be a page: its own rule counts
-    in its component.  Repeated rows come out repeated.  Many pages of one node are
-    one row in the graph.  Columns beyond the three are ignored."""
+    in its component.  Repeated rows come out repeated.  Many pages of one url are
+    one row in the graph.  HTML of any length is read in one pass; a tag that holds
+    another < or is never closed links nothing.  Columns beyond the three are ignored."""
     scratch = Scratch(pages.sparkSession, "url")
     url = F.col("url").cast("string")
-    host, path = split_url(url)
-    judged = pages.select("page_id", url.alias("url"), host.alias("host"), path.alias("path"), node_key(url).alias("node")).withColumn("own", rule_for(F.col("host"), F.col("path"), rules))
+    node = lambda c: F.unhex(F.md5(c.cast("binary")))
     links = page_links(pages, scratch)
     if redirects is not None:
         links = links.unionByName(redirects.select(F.col("url").cast("string").alias("url"), F.col("target").cast("string").alias("target")))
-    links = scratch.keep(links.distinct(), "absolute").select("url", without_dots(F.col("target")).alias("target"), node_key(F.col("url")).alias("from"), node_key(F.col("target")).alias("to")).where("`from` is not null and `to` is not null")
+    links = links.distinct().select("url", without_dots(F.col("target")).alias("target")).where((F.locate("://", "url") > 0) & (F.locate("://", "target") > 0))
     links = scratch.keep(links.distinct(), "links")
-    edges = links.select(F.xxhash64("from").alias("a"), F.xxhash64("to").alias("b"))
-    label = components(edges, scratch)
 
-    # every spelling of a linked node counts with its own rule, pages and targets alike
-    ends = links.select("url").union(links.select("target")).distinct().withColumn("id", F.xxhash64(node_key(F.col("url"))))
-    spelled = judged.where("own is not null").select("node", F.col("own.verdict").alias("v")).distinct()
+    # each written url once, with the spelling that it shares with others
+    urls = pages.select(url.alias("url")).union(links.select("url")).union(links.select("target")).where(F.locate("://", "url") > 0).distinct()
+    urls = scratch.keep(urls.withColumn("key", node_key(F.col("url"))), "urls")
+    spelled = urls.groupBy("key").agg(F.min("url").alias("least"), F.max("url").alias("most")).where("least < most").select("key")
+    same = urls.join(spelled, "key").select(node(F.col("url")).alias("a"), node(F.concat(F.lit("spelling "), F.col("key"))).alias("b"))
+    label = components(links.select(node(F.col("url")).alias("a"), node(F.col("target")).alias("b")).unionByName(same), scratch)
+
     h, p = split_url(F.col("url"))
-    said = ends.select("id", rule_for(h, p, rules)["verdict"].alias("v")).where("v is not null")
-    said = said.unionByName(spelled.select(F.xxhash64("node").alias("id"), "v").where("node is not null")).distinct()
+    said = urls.select(node(F.col("url")).alias("id"), rule_for(h, p, rules)["verdict"].alias("v")).where("v is not null")
     groups = said.join(label, "id").groupBy("label").agg(F.max((F.col("v") == "allow").cast("int")).alias("allowed"), F.max((F.col("v") == "block").cast("int")).alias("blocked"))
-    # aliases of one node by spelling alone also share a fate, without an edge
-    alone = spelled.where("node is not null").groupBy("node").agg(F.max((F.col("v") == "allow").cast("int")).alias("n_allowed"), F.max((F.col("v") == "block").cast("int")).alias("n_blocked"))
     fate = label.join(groups, "label", "left").select("id", F.col("label").alias("component"), "allowed", "blocked")
 
-    out = judged.withColumn("id", F.xxhash64("node")).join(fate, "id", "left").join(alone, "node", "left")
-    allowed = F.coalesce("allowed", "n_allowed", F.lit(0)) == 1
-    blocked = F.coalesce("blocked", "n_blocked", F.lit(0)) == 1
-    method = F.when(blocked & ~allowed, "block").otherwise("allow")
-    verdict = F.coalesce(F.col("own.verdict"), F.when(F.col("node").isNull(), "allow").otherwise(method))
-    return out.select("page_id", "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"), F.when(F.col("node").isNotNull(), F.col("component")).alias("component"))
+    host, path = split_url(url)
+    judged = pages.select("page_id", host.alias("host"), path.alias("path"), node(url).alias("id")).withColumn("own", rule_for(F.col("host"), F.col("path"), rules))
+    out = judged.join(fate, "id", "left")
+    method = F.when((F.col("blocked") == 1) & (F.col("allowed") == 0), "block").otherwise("allow")
+    return out.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce(F.col("own.verdict"), method).alias("verdict"), F.hex("component").alias("component"))

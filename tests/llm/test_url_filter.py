@@ -72,3 +72,17 @@ def test_relative_links(spark):
     ]
     got = verdicts(spark, rows)
     assert [got[i].verdict for i in range(len(rows))] == ["block", "block", "block", "block", "block", "allow", "allow", "block", "block", "block"]
+
+
+def test_unclosed_tags_take_linear_time(spark):
+    bad = '<link rel="canonical" href="http://bad.net/es/1">'
+    rows = [("http://a.org/1", "<link rel=canonical " * 50_000), ("http://a.org/2", "<link " + "rel " * 250_000 + ">"), ("http://a.org/3", "<meta" + " " * 1_000_000), ("http://a.org/4", "<link rel=canonical " * 1000 + bad)]
+    got = verdicts(spark, rows)
+    assert [got[i].verdict for i in range(4)] == ["allow", "allow", "allow", "block"]
+
+
+def test_spellings_are_edges(spark):
+    rows = [("http://a.org/x", None), ("https://A.org/x/#part", None), ("http://bad.net/es/1", None), ("https://bad.net:443/es/1/", None), ("http://alone.org/", None)]
+    got = verdicts(spark, rows, redirects=[("https://a.org/x", "http://bad.net/es/1")])
+    assert [got[i].verdict for i in range(5)] == ["block", "block", "block", "block", "allow"]
+    assert len({got[i].component for i in range(4)}) == 1 and got[4].component is None
