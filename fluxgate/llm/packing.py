@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import bisect
 import re
 import zlib
@@ -18,9 +17,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, bounded_batches, fewer_tasks
 
 #: Rows of one length that one window task ranks, on average.
-ROWS_PER_BLOCK = 1_000
-#: The split pattern of the byte-level vocabulary (a fixed value).
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+ROWS_PER_BLOCK = 200
+#: Where a text may be cut without changing its ids.
+_SEAM = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
+#: Parts that a task remembers, and characters of such a part.
+PARTS, PART_CHARS = 200_000, 40
 
 
 def vocabulary_path(name: str) -> str:
@@ -30,23 +31,33 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(name: str = "byte_bpe_50k.json"):
-    """A function from text to ids of the named vocabulary.  Where the same
-    vocabulary lies beside it as ranks, the faster encoder reads those; both give
-    the same ids.  Names of special tokens in a text are ordinary text."""
-    ranks = re.sub(r"\.json$", ".tiktoken", name)
-    try:
-        import tiktoken
+class Encoder:
+    """Texts to ids of the named vocabulary, by ``tokenizers``.
 
-        with open(vocabulary_path(ranks), "rb") as f:
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=table, special_tokens={}).encode_ordinary
-    except (ImportError, OSError):
+    The vocabulary's rules never join what stands on the two sides of a space between
+    two ASCII letters, and no rule looks across it: a text may be cut before each such
+    space, and the parts' ids are the text's ids.  Parts that come often are remembered.
+    Names of special tokens in a text are ordinary text."""
+
+    def __init__(self, name: str = "byte_bpe_50k.json"):
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(vocabulary_path(name))
-        t.encode_special_tokens = True
-        return lambda text: t.encode(text, add_special_tokens=False).ids
+        self.of = Tokenizer.from_file(vocabulary_path(name))
+        self.of.encode_special_tokens = True
+        self.known: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        ids = np.array(self.of.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(part) <= PART_CHARS:
+            if len(self.known) >= PARTS:
+                self.known.clear()
+            self.known[part] = ids
+        return ids
+
+    def __call__(self, text: str) -> bytes:
+        """The ids as little-endian 32-bit numbers."""
+        known, make = self.known.get, self._part
+        return b"".join([known(part) or make(part) for part in _SEAM.split(text)])
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -60,11 +71,11 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _pieces(name: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(name)
+        encode, end = Encoder(name), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32")}
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.array([*encode(text or ""), end_id], "<u4")
+                ids = np.frombuffer(encode(text or "") + end, "<u4")
                 for i, (start, length) in enumerate(cut(len(ids), capacity)):
                     for c, v in zip(out, (doc, i, start, length, zlib.crc32(ids[start : start + length].tobytes())), strict=True):
                         out[c].append(v)

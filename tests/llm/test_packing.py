@@ -59,8 +59,11 @@ def test_encoders_agree():
 
     t = Tokenizer.from_file(P.vocabulary_path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
-    enc = P.encoder()
-    texts = ["", " ", "  a  b\n\n c", "don't I'LL 123 4567", "é ü 社安 \U0001f600", "<|endoftext|> as text", "\x00\t\r\x0b", "a" * 5000, prose(1, 300), "x y z", "١٢٣ ⅷ ²"]
+    own = P.Encoder()
+    enc = lambda x: np.frombuffer(own(x), "<u4").tolist()
+    texts = ["", " ", "  a  b\n\n c", "don't I'LL 123 4567", "é ü 社安 \U0001f600", "<|endoftext|> as text", "\x00\t\r\x0b", "a" * 5000, prose(1, 300), "x y z", "١٢٣ ⅷ ²", "a b c d", "one, two.\n\nThree 4 five  six", "it's Bob's  x", "end ", " a", "a  b", "a b", "é a b é"]
+    r = random.Random(3)
+    texts += ["".join(r.choice(["a", "B", " ", " ", "  ", "\n", "'s", "7", ".", "é", "\u00a0", "\x1c", "word"]) for _ in range(60)) for _ in range(300)]
     for x in texts:
         assert enc(x) == t.encode(x, add_special_tokens=False).ids
 
@@ -70,7 +73,8 @@ def test_round_trip(documents, monkeypatch, block):
     monkeypatch.setattr(P, "ROWS_PER_BLOCK", block)
     rows = [(d, prose(d, d * 7 % 900)) for d in range(60)] + [(100 + d, "same") for d in range(40)] + [(3, prose(3, 21))] + ODD
     out = P.pack(documents(rows, salt="a", rank="b", first="c", length="d")).collect()
-    enc = P.encoder()
+    own = P.Encoder()
+    enc = lambda x: np.frombuffer(own(x), "<u4")
     want = Counter()
     for d, text, *_ in rows:
         ids = np.array([*enc(text or ""), 2], "<u4")
@@ -89,6 +93,58 @@ def test_round_trip(documents, monkeypatch, block):
     assert len(seqs) <= 1.05 * sum(r.length for r in out) / 1024 + 1
 
 
+def test_very_long_texts(documents):
+    rows = [(1, " " * 1_000_000), (2, "\n" * 1_000_000), (3, "x" * 1_000_000), (4, "a b" * 300_000)]
+    out = P.pack(documents(rows)).collect()
+    assert {r.doc_id for r in out} == {1, 2, 3, 4} and max(r.length for r in out) <= 1024
+
+
+def test_registered_query_packs_each_document(spark, sf):
+    """All ids of all documents, from the pieces' checksums, and no gap or overlap."""
+    from fluxgate.llm.queries import op5_large_item_packing
+
+    enc, want = P.Encoder(), {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        want[r.doc_id] = np.frombuffer(enc(r.text or "") + b"\x02\0\0\0", "<u4")
+    pieces, seqs = {}, {}
+    for r in op5_large_item_packing(spark, sf).collect():
+        pieces.setdefault(r.doc_id, []).append(r)
+        seqs.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert pieces.keys() == want.keys()
+    for d, own in pieces.items():
+        own.sort(key=lambda r: r.piece)
+        assert [r.piece for r in own] == list(range(len(own))) and sum(r.length for r in own) == len(want[d])
+        assert len(own) == 1 or len(want[d]) > 1024 and all(r.length == 1024 for r in own[1:])
+        for r in own:
+            assert r.ids_crc32 == zlib.crc32(want[d][r.start : r.start + r.length].tobytes())
+    for s in seqs.values():
+        ends = np.cumsum([n for _, n in sorted(s)])
+        assert [o for o, _ in sorted(s)] == [0, *ends[:-1].tolist()] and ends[-1] <= 1024
+    assert len(seqs) <= 1.02 * sum(map(len, want.values())) / 1024 + 1
+
+
+def first_fit(counts, capacity):
+    """Bins by plain first fit on falling lengths, one item at a time."""
+    rooms = []
+    for n in sorted((k for k, v in counts.items() for _ in range(v)), reverse=True):
+        i = next((i for i, r in enumerate(rooms) if r >= n), None)
+        if i is None:
+            rooms.append(capacity - n)
+        else:
+            rooms[i] -= n
+    return len(rooms)
+
+
+def test_plan_against_first_fit():
+    r = random.Random(5)
+    for _ in range(60):
+        capacity = r.choice([10, 31, 100])
+        counts = Counter(r.choice([r.randrange(1, capacity + 1), r.randrange(1, capacity // 3 + 1)]) for _ in range(r.randrange(1, 200)))
+        bins = sum(run.count for run in P.plan(counts, capacity))
+        assert bins <= 1.05 * first_fit(counts, capacity) + 1
+        assert bins >= sum(k * v for k, v in counts.items()) / capacity
+
+
 def test_empty(documents):
     assert P.pack(documents([])).collect() == []
     assert [(r.length, r.offset) for r in P.pack(documents([(1, None)])).collect()] == [(1, 0)]
