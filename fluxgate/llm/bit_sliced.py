@@ -23,15 +23,16 @@ from .common import Scratch
 SCALE = 1024.0
 #: Rows of a block, and bits kept of a component.
 BLOCK, BITS = 16384, 8
-#: Row blocks and queries that meet in one task at a time, and tasks at most.
-CELL_BLOCKS, CELL_QUERIES, MOST_TASKS = 1, 1024, 20_000
-#: Components are held within +-LIMIT, so that scores stay within 64 bits.
-LIMIT = 1 << 27
+#: Queries and bytes of a group of queries at most, and groups that a pass over the
+#: index takes: what a pass broadcasts is bounded by their product.
+GROUP_QUERIES, GROUP_BYTES, PASS_GROUPS = 1024, 1 << 20, 16
+#: Components from here on are wide: their rows are told exactly, not by slices.
+WIDE = 1 << 31
 
 
 def quantised(vectors: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(positions, integer vectors) of the rows that take part: floor(1024 * x) of
-    vectors without null or non-finite components."""
+    """(positions, vectors) of the rows that take part: floor(1024 * x) of vectors
+    without null or non-finite components, as doubles that are whole numbers."""
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
     lengths = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
@@ -41,8 +42,10 @@ def quantised(vectors: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, list[np.
     for i in np.flatnonzero(lengths):
         x = flat[ends[i] - lengths[i] : ends[i]]
         if np.isfinite(x).all():
+            if np.abs(x).max() >= 2.0**1013:
+                raise OverflowError("1024 times a component is beyond the range of a double")
             keep.append(i)
-            out.append(np.clip(np.floor(SCALE * x), -LIMIT, LIMIT).astype(np.int64))
+            out.append(np.floor(SCALE * x))
     return np.array(keep, np.int64), out
 
 
@@ -57,7 +60,8 @@ class Block:
     def __init__(self, ids: np.ndarray, rows: np.ndarray):
         self.ids, self.rows = ids, rows
         self.n = len(ids)
-        width = int(max(1, np.abs(rows).max(initial=0))).bit_length() + 1
+        self.most = int(np.abs(rows).max(initial=0))
+        width = max(1, self.most).bit_length() + 1
         self.shift = max(0, width - BITS)
         top = (rows >> self.shift) + (1 << (BITS - 1))
         padded = np.zeros((rows.shape[1], -(-self.n // 64) * 64), np.uint8)
@@ -152,56 +156,78 @@ def block_top(block: Block, query: np.ndarray, query_id: int, k: int, floor: int
     return block.ids[at], block.rows[at] @ query
 
 
+def whole(rows: np.ndarray) -> np.ndarray:
+    """Doubles that are whole numbers, as Python's integers of any size."""
+    return np.array([[int(x) for x in r] for r in rows], object).reshape(rows.shape)
+
+
+def exact_top(ids: np.ndarray, rows: np.ndarray, query: np.ndarray, query_id: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``block_top`` for numbers of any size; a score beyond 64 bits is an error."""
+    scored = sorted((-int(s), int(i)) for i, s in zip(ids, whole(rows) @ whole(query[None])[0], strict=True) if i != query_id)[:k]
+    if any(not -(1 << 63) <= -s < 1 << 63 for s, _ in scored):
+        raise OverflowError("a score is beyond 64 bits")
+    return np.array([i for _, i in scored], np.int64), np.array([-s for s, _ in scored], np.int64)
+
+
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores))[:k]
+    order = np.lexsort((ids, ~scores))[:k]  # ~ falls as a score rises, for all of 64 bits
     return ids[order], scores[order]
 
 
-def _pack(size: int):
-    """Rows (vec_id, embedding) to packed blocks of rows of one dimension."""
+def _pack(size: int, most_bytes: int):
+    """Rows (vec_id, embedding) to packed blocks of rows of one dimension, wide rows and
+    others apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[int, np.ndarray]]] = {}
+        held: dict[tuple[int, bool], list[tuple[int, np.ndarray]]] = {}
 
-        def out(dim: int) -> pa.RecordBatch:
-            rows = held.pop(dim)
+        def out(dim: int, wide: bool) -> pa.RecordBatch:
+            rows = held.pop((dim, wide))
             ids = np.array([r[0] for r in rows], np.int64)
-            data = np.stack([r[1] for r in rows]).astype(np.int32)
-            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "ids": [ids.tobytes()], "data": [data.tobytes()]})
+            data = np.stack([r[1] for r in rows]).astype(np.float64 if wide else np.int32)
+            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "wide": [wide], "n": pa.array([len(ids)], pa.int64()), "ids": [ids.tobytes()], "data": [data.tobytes()]})
 
         for batch in batches:
             ids = batch.column("vec_id").to_pylist()
             keep, vectors = quantised(batch.column("embedding"))
             for i, v in zip(keep, vectors, strict=True):
                 if ids[i] is not None:
-                    held.setdefault(len(v), []).append((ids[i], v))
-                    if len(held[len(v)]) >= size:
-                        yield out(len(v))
-        for dim in list(held):
-            yield out(dim)
+                    key = (len(v), bool(np.abs(v).max() >= WIDE))
+                    own = held.setdefault(key, [])
+                    own.append((ids[i], v))
+                    if len(own) >= size or len(own) * 8 * key[0] >= most_bytes:
+                        yield out(*key)
+        for key in list(held):
+            yield out(*key)
 
     return run
 
 
 def _search(k: int):
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        got: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
-        if left.num_rows and right.num_rows:
-            dim = left.column("dim")[0].as_py()
-            unpack = lambda r: (np.frombuffer(r["ids"], np.int64), np.frombuffer(r["data"], np.int32).reshape(-1, dim).astype(np.int64))
-            queries = [(i, q) for r in right.to_pylist() for i, q in zip(*unpack(r), strict=True)]
-            top = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(queries)
-            for r in left.select(["ids", "data"]).to_pylist():
-                block = Block(*unpack(r))
-                for j, (i, q) in enumerate(queries):
-                    ids, scores = top[j]
-                    more_ids, more = block_top(block, q, int(i), k, int(scores[-1]) if len(scores) == k else None)
-                    top[j] = best(np.r_[ids, more_ids], np.r_[scores, more], k)
-            for (i, _), (ids, scores) in zip(queries, top, strict=True):
-                got["query_id"] += [int(i)] * len(ids)
-                got["vec_id"] += ids.tolist()
-                got["score"] += scores.tolist()
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in got.items()})
+    """Rows (a block of the index beside a group of queries) to the best rows of all the
+    task's blocks for each query."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        last, block, ids, rows = None, None, None, None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                part, dim, wide, q_wide, data_ids, data, q_ids, q_data = (batch.column(c)[r].as_py() for c in ("part", "dim", "wide", "q_wide", "ids", "data", "q_ids", "q_data"))
+                if part != last:
+                    ids = np.frombuffer(data_ids, np.int64)
+                    rows = np.frombuffer(data, np.float64 if wide else np.int32).reshape(-1, dim)
+                    last, block = part, None if wide else Block(ids, rows.astype(np.int64))
+                asked = np.frombuffer(q_data, np.float64 if q_wide else np.int32).reshape(-1, dim)
+                for i, q in zip(np.frombuffer(q_ids, np.int64).tolist(), asked, strict=True):
+                    got_ids, got = top.get((dim, i), (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+                    # no sum of this block's products leaves 63 bits
+                    if block is not None and not q_wide and block.most * int(np.abs(q.astype(np.int64)).sum()) < 1 << 62:
+                        more_ids, more = block_top(block, q.astype(np.int64), i, k, int(got[-1]) if len(got) == k else None)
+                    else:
+                        more_ids, more = exact_top(ids, rows, q, i, k)
+                    top[dim, i] = best(np.r_[got_ids, more_ids], np.r_[got, more], k)
+        for (_, i), (got_ids, got) in top.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(got), i, np.int64)), pa.array(got_ids), pa.array(got)], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -215,31 +241,31 @@ def exact_top_k(rows: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     part, nor do rows without vec_id; a vector meets vectors of its own length.
     Rows with the query's vec_id are the query's own.  Repeated rows count as
     candidates each; a repeated query is asked once, with the least of
-    its vectors that take part.
-    Components beyond +-2^27 count as that.  An empty table gives an empty result.
+    its vectors that take part.  Scores are exact: numbers that slices can't hold are
+    worked out one by one, and a result beyond 64 bits, or a component that 1024 times
+    leaves a double, raises.  An empty table gives an empty result.
 
-    Row blocks and query groups form a grid; a task holds one cell of it, at most
-    CELL_BLOCKS blocks and CELL_QUERIES queries, and sends on k rows per query."""
+    The index stays where it is.  Queries go to its blocks in passes of PASS_GROUPS
+    groups, each of which is bounded in rows and bytes, and a task sends on k rows per
+    query for all its blocks."""
     scratch = Scratch(rows.sparkSession, "bits")
     rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    kind = "dim int, ids binary, data binary"
-    number = lambda df, per: df.withColumn("at", F.row_number().over(Window.partitionBy("dim").orderBy("first")) - 1).withColumn("at", F.floor(F.col("at") / per))
-    index = scratch.keep(rows.mapInArrow(_pack(BLOCK), kind).withColumn("part", F.monotonically_increasing_id()), "index")
+    kind = "dim int, wide boolean, n long, ids binary, data binary"
+    index = scratch.keep(rows.mapInArrow(_pack(BLOCK, 64 << 20), kind).withColumn("part", F.monotonically_increasing_id()).drop("n"), "index")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     asked = rows.where((F.pmod("vec_id", F.lit(every)) == 0) & (F.size("embedding") > 0) & finite).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    asked = scratch.keep(asked.mapInArrow(_pack(CELL_QUERIES // 8), kind).withColumn("part", F.monotonically_increasing_id()), "queries")
-    # only the blocks' numbers are ranked in one task, one small row for each block
-    place = lambda df, per: df.join(number(df.select("dim", F.col("part").alias("first")), per).withColumnRenamed("first", "part"), ["dim", "part"])
-    index, asked = scratch.keep(place(index, CELL_BLOCKS).drop("part"), "index-at"), scratch.keep(place(asked, 8).drop("part"), "queries-at")
-    groups = lambda df, name: df.groupBy("dim").agg((F.max("at") + 1).alias(name))
-    cell_rows = index.withColumnRenamed("at", "p").join(groups(asked, "n"), "dim").withColumn("q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1))).drop("n")
-    cell_asks = asked.withColumnRenamed("at", "q").join(groups(index, "n"), "dim").withColumn("p", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1))).drop("n")
-    keys = ["dim", "p", "q"]
-    # a cell is small to send and long to work on, so cells aren't put together by size
-    cells = index.select("dim", "at").distinct().count() * max(1, asked.select("dim", "at").distinct().count())
-    tasks = max(1, min(MOST_TASKS, 2 * cells))
-    cell_rows, cell_asks = (df.repartition(tasks, *keys) for df in (cell_rows, cell_asks))
-    found = cell_rows.groupBy(*keys).cogroup(cell_asks.groupBy(*keys)).applyInArrow(_search(k), "query_id long, vec_id long, score long")
+    asked = scratch.keep(asked.mapInArrow(_pack(GROUP_QUERIES, GROUP_BYTES), kind).withColumn("group", F.monotonically_increasing_id()), "queries")
+    # a pass takes the groups of one number; small groups of many tasks share a pass by their size
+    before = Window.orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    full = F.sum(F.greatest(F.octet_length("data") / F.lit(GROUP_BYTES), F.col("n") / F.lit(GROUP_QUERIES)))
+    number = asked.withColumn("pass", F.floor(F.coalesce(full.over(before), F.lit(0.0)) / PASS_GROUPS))
+    asked = scratch.keep(number.select(F.col("dim").alias("q_dim"), F.col("wide").alias("q_wide"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"), "pass"), "queries-at")
+    found = None
+    for p in range((asked.agg(F.max("pass")).first()[0] or 0) + 1):
+        # bounded by PASS_GROUPS and a group more
+        meet = index.join(F.broadcast(asked.where(F.col("pass") == p)), F.col("dim") == F.col("q_dim"))
+        got = scratch.keep(meet.mapInArrow(_search(k), "query_id long, vec_id long, score long"), f"found{p}")
+        found = got if found is None else found.unionAll(got)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
