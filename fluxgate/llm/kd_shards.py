@@ -17,9 +17,16 @@ ROWS_PER_BLOCK = 20_000
 TOLERANCE = 0.0005
 
 
-def ordinal(c: Column) -> Column:
-    """A string's first six bytes as a number of the same order; -1 for null."""
-    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0"), 16, 10).cast("long"), F.lit(-1))
+def dense_ranks(values: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(value, rank) of the distinct values of the column ``value`` in their order, from
+    0.  Ranges of values are ranked apart, and their first ranks come from their counts,
+    so no task sees all values."""
+    parts = values.where("value is not null").distinct().repartitionByRange("value").withColumn("part", F.spark_partition_id())
+    parts = scratch.keep(parts, f"{name}-parts")
+    counts = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    starts = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
+    ranks = parts.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("value")) - 1).join(starts, "part")
+    return scratch.keep(ranks.select("value", (F.col("r") + F.col("start")).alias("rank")), f"{name}-ranks")
 
 
 @dataclass
@@ -142,7 +149,8 @@ def kd_shards(docs: DataFrame, shards: int = 16, target_bytes: int | None = None
     holds rows of similar metadata and sizes are near equal; ``target_bytes`` gives
     the shards' size instead of their number.  slot counts a shard's rows from 0
     without gaps, in blocks: block counts are added up, and only rows of one block
-    are ranked in one task, so no shard or group meets in one task.  Null doc_ids
+    are ranked in one task, so no shard or group meets in one task.  Equal texts are
+    no group here: they go where their metadata lies, apart as a rule.  Null doc_ids
     and repeated rows are rows like others.  The tie number is a hash of doc_id and
     text, and behind it one of the row's position, so that even equal rows can be
     divided if they are many; other rows lie in the same shard on every run.  An
@@ -154,9 +162,13 @@ def kd_shards(docs: DataFrame, shards: int = 16, target_bytes: int | None = None
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        ordinal(F.col("source").cast("string")).alias("at_source"),
-        ordinal(F.col("lang").cast("string")).alias("at_lang"),
+        F.col("source").cast("string").alias("source"),
+        F.col("lang").cast("string").alias("lang"),
     )
+    base = scratch.keep(base, "measured")
+    for name in ("source", "lang"):
+        ranks = dense_ranks(base.select(F.col(name).alias("value")), scratch, name)
+        base = base.join(ranks, F.col(name) == F.col("value"), "left").drop(name, "value").withColumn(f"at_{name}", F.coalesce("rank", F.lit(-1))).drop("rank")
     low = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 10))
     base = base.withColumn("tie", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(1 << 30)) * F.lit(1 << 10) + low)
     base = scratch.keep(base.withColumn("at_doc", F.coalesce("doc_id", F.lit(-1))), "rows")
@@ -164,9 +176,11 @@ def kd_shards(docs: DataFrame, shards: int = 16, target_bytes: int | None = None
         total = base.agg(F.sum("size")).first()[0] or 0
         shards = max(1, -(-total // target_bytes))
     tree = kd_tree(base, ("at_doc", "size", "at_source", "at_lang"), shards)
-    blocks = max(1, base.count() // (ROWS_PER_BLOCK * shards) + 1)
-    placed = base.select("doc_id", "size", "text_crc32", tree.label().alias("shard"), F.pmod(F.xxhash64("tie", F.lit(1)), F.lit(blocks)).alias("block"))
-    return with_slots(placed, "shard", "block", ["doc_id", "text_crc32"], "slot").drop("block")
+    placed = scratch.keep(base.select("doc_id", "size", "text_crc32", "tie", tree.label().alias("shard")), "placed")
+    # one row per shard, of which the caller gives the number
+    blocks = placed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_BLOCK).alias("blocks"))
+    placed = placed.join(F.broadcast(blocks), "shard").withColumn("block", F.pmod(F.xxhash64("tie", F.lit(1)), F.col("blocks"))).drop("tie", "blocks")
+    return with_slots(placed, "shard", "block", ["doc_id", "text_crc32"], "slot").select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def with_slots(rows: DataFrame, group: str, block: str, order: list[str], name: str) -> DataFrame:

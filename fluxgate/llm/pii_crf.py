@@ -7,7 +7,9 @@ added where no base span lies."""
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -344,11 +346,11 @@ def added_spans(field: Field, texts: list[str]) -> list[list[tuple[str, int, int
 
 def merged_spans(base: list[tuple[str, int, int]], more: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """All base spans, and those of the field that overlap none of them."""
-    out, taken = list(base), sorted((a, b) for _, a, b in base)
-    for span in more:
-        if not any(a < span[2] and span[1] < b for a, b in taken):
-            out.append(span)
-    return sorted(set(out), key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
+    taken = sorted((a, b) for _, a, b in base)
+    starts, ends = [a for a, _ in taken], list(itertools.accumulate((b for _, b in taken), max))
+    # of the base spans that begin before a span's end, the farthest end tells
+    free = [x for x in more if (k := bisect.bisect_left(starts, x[2])) == 0 or ends[k - 1] <= x[1]]
+    return sorted({*base, *free}, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
 def span_text(spans: list[tuple[str, int, int]]) -> str:

@@ -12,19 +12,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, bounded_batches
+from .common import Scratch, aside, bounded_batches
 
 #: Bytes of a step, of a block (half a chunk), and steps of a block.
 STEP, HALF = 4, 128
 STEPS = HALF // STEP
 #: Most bytes whose responses are held at once; longer documents go in parts.
 PART = 1 << 17
-#: Defaults of training: labelled rows at most, bytes of a row's window, epochs.
-SAMPLE, WINDOW, EPOCHS = 6000, 8192, 6
+#: Defaults of training: labelled rows at most, bytes of all their texts at most, epochs.
+SAMPLE, SAMPLE_BYTES, EPOCHS = 6000, 64 << 20, 6
 
 
 def as_blocks(raw: bytes) -> np.ndarray:
@@ -149,20 +149,23 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, window: int = WINDOW) -> list[tuple[bytes, int]]:
-    """At most ``sample`` labelled rows outside the held-out fold, chosen by a hash of
-    the id.  Of a long text, a window at a hashed place is learned from: this
-    bounds the driver's memory by sample * window bytes; scoring has no window."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> list[tuple[bytes, int]]:
+    """At most ``sample`` labelled rows outside the held-out fold, in the order of a hash
+    of the id, with their whole texts, as many as ``most_bytes`` hold; a text that alone
+    is larger teaches nothing.  Both bounds hold the driver's memory."""
     known = labels.where(F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != 0)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
     known = known.groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    known = Scratch(docs.sparkSession, "labels").keep(known, "sample")
+    scratch = Scratch(docs.sparkSession, "labels")
+    known = scratch.keep(known, "sample")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    start = F.pmod(F.xxhash64("doc_id", F.lit("window")), F.greatest(F.lit(1), F.length(text) - F.lit(window - 1))).cast("int") + 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     # the sample's size is a parameter, so its broadcast is bounded
-    rows = rows.join(F.broadcast(known), "doc_id").select("doc_id", "y", F.substring("text", start, F.lit(window)).alias("part"))
-    rows = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("part").alias("part"))
-    return [(r["part"].encode("utf-8", "surrogatepass"), r["y"]) for r in sorted(rows.collect(), key=lambda r: r["doc_id"])]
+    rows = rows.join(F.broadcast(known), "doc_id").where(F.octet_length("text") <= most_bytes)
+    rows = scratch.keep(rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("text").alias("text")), "texts")
+    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # at most ``sample`` numbers
+    some = rows.select("doc_id", F.sum(F.octet_length("text").cast("long")).over(upto).alias("upto")).where(F.col("upto") <= most_bytes)
+    rows = rows.join(F.broadcast(some.select("doc_id")), "doc_id")
+    return [(r["text"].encode("utf-8", "surrogatepass"), r["y"]) for r in sorted(rows.collect(), key=lambda r: r["doc_id"])]
 
 
 def _scores(net: Net):
@@ -175,7 +178,7 @@ def _scores(net: Net):
     return run
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, window: int = WINDOW, threshold: float = 0.3) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most_bytes: int = SAMPLE_BYTES, threshold: float = 0.3) -> DataFrame:
     """``docs`` with score (0 to 1, higher: label 1 likelier) and predicted added.
 
     The net is trained on ``labels`` (doc_id, quality) as in ``training_rows`` and
@@ -185,8 +188,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, win
     0.5.  Repeated rows come out repeated, an empty table gives an empty result, and
     columns of ``docs`` named score or predicted are replaced."""
     bounded_batches(docs.sparkSession)
-    net = train(training_rows(docs, labels, sample, window))
-    rest = docs.drop("score", "predicted").withColumn("text", F.col("text").cast("string"))
+    net = train(training_rows(docs, labels, sample, most_bytes))
+    rest, back = aside(docs, "text", new=("score", "predicted"))
+    rest = rest.withColumn("text", F.col("text").cast("string"))
     kind = T.StructType([*rest.schema, T.StructField("score", T.DoubleType())])
     out = rest.mapInArrow(_scores(net), kind)
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return out.select(*back, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

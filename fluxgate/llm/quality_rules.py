@@ -83,7 +83,8 @@ def measure(docs: DataFrame) -> DataFrame:
         "n_repeat_words": repeated_words(F.col("_words")),
         "_lines": F.size(worded).cast("long"),
         "_stop": F.regexp_count(ascii_lower(text), F.lit(stop)).cast("long"),
-        "_upper": count(r"(?<![^ \t-\r])[\p{Lu}\p{N}\p{P}\p{S}]*\p{Lu}[\p{Lu}\p{N}\p{P}\p{S}]+(?![^ \t-\r])"),
+        # the first capital is not the last character; nothing is tried twice
+        "_upper": count(r"(?<![^ \t-\r])(?=[\p{N}\p{P}\p{S}]*+\p{Lu}[\p{Lu}\p{N}\p{P}\p{S}])[\p{Lu}\p{N}\p{P}\p{S}]++(?![^ \t-\r])"),
         "_bullets": count(r"(?m)^[ \t]*[-*•·]"),
     })
     n = F.col("n_words")
