@@ -7,45 +7,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxgate.llm.common import Scratch, table
+from fluxgate.llm.common import Scratch, aside, table
 from fluxgate.llm.line_dedup import dedup_lines
 from fluxgate.llm.mixing import mix_sources
-from fluxgate.llm.ngram_join import near_copy_groups
+from fluxgate.llm.ngram_join import without_near_copies
 from fluxgate.llm.packing import pack
 from fluxgate.llm.quality_cnn import quality_scores
 
+#: The columns that the stages use; all others pass under private names meanwhile.
+OWN = ("doc_id", "text", "source", "n_chars")
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
-    scored = quality_scores(docs, table(spark, sf_dir, "labels"))
-    return scored.where("predicted = 1").select(docs.columns)
+    rest, back = aside(docs, *OWN)
+    return quality_scores(rest, table(spark, sf_dir, "labels")).where("predicted = 1").select(*back)
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose the lines that at least three documents share, but for one of them."""
-    out = dedup_lines(docs).withColumn("text", F.col("kept_text"))
+    rest, back = aside(docs, *OWN)
+    out = dedup_lines(rest).withColumn("text", F.col("kept_text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(docs.columns)
+    return out.select(*back)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest doc_id stays, and of
-    several such texts the one with the smallest hash; a null doc_id comes last.  Of rows
-    without words, one stays for each doc_id and text."""
-    groups = near_copy_groups(docs)
-    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("stay"), F.col("text_hash").alias("stay_hash"))
-    stay = groups.where("root is not null").groupBy("root").agg(F.min(row).alias("row")).select("row.stay", "row.stay_hash")
-    stay = stay.union(groups.where("root is null").select("doc_id", "text_hash").distinct())
-    out = docs.withColumn("text_hash", F.xxhash64("text"))
-    out = out.join(stay, F.col("doc_id").eqNullSafe(F.col("stay")) & (F.col("text_hash") == F.col("stay_hash")), "left_semi")
-    return out.dropDuplicates(["doc_id", "text_hash"]).select(docs.columns)
+    """Of each group of linked documents (five words, 0.8), one stays: that of the
+    smallest doc_id."""
+    rest, back = aside(docs, *OWN)
+    return without_near_copies(rest).select(*back)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document comes as often as the mix takes it, or not at all."""
-    out = mix_sources(docs).where("copies > 0")
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(docs.columns)
+    rest, back = aside(docs, *OWN)
+    out = mix_sources(rest).where("copies > 0")
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(*back)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
