@@ -59,3 +59,32 @@ def test_one_of_near_copies_stays_whatever_the_ids(spark, sf, documents):
     got = corpus_pipeline.keep_one_of_near_copies(spark, documents(rows), sf).collect()
     assert Counter((r.text or "").split("0")[0] for r in got) == {"a": 1, "b": 1, "c": 1, "alone": 1, "other": 1, "": 1, " ": 1}
     assert [r.doc_id for r in got if r.text.startswith("b0")] == [7]
+
+
+def test_columns_that_clash(spark, sf):
+    """Columns named like what operators make or hold themselves come out as they were."""
+    names = ["lost", "all_lines", "kept_text", "n_lines", "h", "ps", "f", "u", "q", "cut", "fit", "certain", "size", "copy", "copies", "target", "score", "predicted", "root", "key", "th", "_row", "_copy"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 40")
+    docs = docs.selectExpr("*", *[f"concat('{n} of ', doc_id) as {n}" for n in names])
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+        if name == "pack":
+            break
+        rows = docs.collect()
+        docs = spark.createDataFrame(rows, docs.schema)
+        assert rows and all(r[n] == f"{n} of {r.doc_id}" for r in rows for n in names)
+    assert docs.count() > 0
+
+
+def test_odd_rows(spark, sf, documents):
+    from conftest_llm import ODD, prose
+
+    docs = documents(ODD + [(d, prose(d, 60) + "\na line that many documents share", None) for d in (20, 20, 21, None, None)])
+    for name, stage in corpus_pipeline.STAGES[1:]:
+        out = stage(spark, docs, sf)
+        rows = out.collect()
+        if name == "line_dedup":
+            assert len(rows) == docs.count()
+        elif name == "near_copies":
+            assert Counter((r.doc_id, r.text) for r in rows).most_common(1)[0][1] == 1
+        docs = spark.createDataFrame(rows, out.schema)
