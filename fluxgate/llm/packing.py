@@ -18,10 +18,11 @@ from .common import Scratch, bounded_batches, fewer_tasks
 
 #: Rows of one length that one window task ranks, on average.
 ROWS_PER_BLOCK = 200
-#: Where a text may be cut without changing its ids.
-_SEAM = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
-#: Parts that a task remembers, and characters of such a part.
-PARTS, PART_CHARS = 200_000, 40
+#: Where a text may be cut without changing its ids: between what is no white space
+#: and a space, and between an ASCII letter and an ASCII mark.
+_SEAM = re.compile(r"(?<=\S)(?= )|(?<=[A-Za-z])(?=[!-/:-@\[-`{-~])")
+#: Parts that a task remembers, characters of such a part, and of parts encoded at once.
+PARTS, PART_CHARS, JOINED = 400_000, 40, 1 << 16
 
 
 def vocabulary_path(name: str) -> str:
@@ -34,10 +35,11 @@ def vocabulary_path(name: str) -> str:
 class Encoder:
     """Texts to ids of the named vocabulary, by ``tokenizers``.
 
-    The vocabulary's rules never join what stands on the two sides of a space between
-    two ASCII letters, and no rule looks across it: a text may be cut before each such
-    space, and the parts' ids are the text's ids.  Parts that come often are remembered.
-    Names of special tokens in a text are ordinary text."""
+    The vocabulary's rules take a space only at the head of a word or within a run of
+    white space, and marks never with letters before them: nothing they join crosses a
+    seam (see ``_SEAM``), and none looks back across it.  So a text may be cut there,
+    and the parts' ids are the text's ids.  Parts that come often are remembered.  Names
+    of special tokens in a text are ordinary text."""
 
     def __init__(self, name: str = "byte_bpe_50k.json"):
         from tokenizers import Tokenizer
@@ -46,18 +48,43 @@ class Encoder:
         self.of.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
 
-    def _part(self, part: str) -> bytes:
-        ids = np.array(self.of.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(part) <= PART_CHARS:
-            if len(self.known) >= PARTS:
-                self.known.clear()
-            self.known[part] = ids
-        return ids
-
-    def __call__(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit numbers."""
-        known, make = self.known.get, self._part
-        return b"".join([known(part) or make(part) for part in _SEAM.split(text)])
+    def _new(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts.  Those that begin with a space and don't end in white space go
+        joined, many at a time: there is a seam between any two."""
+        out, joined, size = {}, [], 0
+
+        def close() -> None:
+            e = self.of.encode("".join(joined), add_special_tokens=False)
+            starts = np.cumsum([0, *map(len, joined)])
+            at = np.searchsorted([o[0] for o in e.offsets], starts)
+            ids = np.array(e.ids, "<u4").tobytes()
+            out.update((p, ids[4 * i : 4 * j]) for p, i, j in zip(joined, at[:-1].tolist(), at[1:].tolist(), strict=True))
+
+        for p in parts:
+            if len(p) <= PART_CHARS and p.startswith(" ") and not p[-1].isspace():
+                joined.append(p)
+                size += len(p)
+                if size > JOINED:
+                    close()
+                    joined, size = [], 0
+            else:
+                out[p] = np.array(self.of.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
+        if joined:
+            close()
+        return out
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit numbers."""
+        if len(self.known) >= PARTS:
+            self.known.clear()
+        cut = [_SEAM.split(t) for t in texts]
+        new = self._new([p for p in {p for parts in cut for p in parts} if p not in self.known])
+        self.known.update(new)
+        out = [b"".join([self.known[p] for p in parts]) for parts in cut]
+        for p in new:
+            if len(p) > PART_CHARS:
+                del self.known[p]
+        return out
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -74,8 +101,9 @@ def _pieces(name: str, capacity: int, end_id: int):
         encode, end = Encoder(name), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32")}
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.frombuffer(encode(text or "") + end, "<u4")
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            for doc, raw in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
+                ids = np.frombuffer(raw + end, "<u4")
                 for i, (start, length) in enumerate(cut(len(ids), capacity)):
                     for c, v in zip(out, (doc, i, start, length, zlib.crc32(ids[start : start + length].tobytes())), strict=True):
                         out[c].append(v)

@@ -60,7 +60,7 @@ def test_encoders_agree():
     t = Tokenizer.from_file(P.vocabulary_path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
     own = P.Encoder()
-    enc = lambda x: np.frombuffer(own(x), "<u4").tolist()
+    enc = lambda x: np.frombuffer(own([x])[0], "<u4").tolist()
     texts = ["", " ", "  a  b\n\n c", "don't I'LL 123 4567", "é ü 社安 \U0001f600", "<|endoftext|> as text", "\x00\t\r\x0b", "a" * 5000, prose(1, 300), "x y z", "١٢٣ ⅷ ²", "a b c d", "one, two.\n\nThree 4 five  six", "it's Bob's  x", "end ", " a", "a  b", "a b", "é a b é"]
     r = random.Random(3)
     texts += ["".join(r.choice(["a", "B", " ", " ", "  ", "\n", "'s", "7", ".", "é", "\u00a0", "\x1c", "word"]) for _ in range(60)) for _ in range(300)]
@@ -74,7 +74,7 @@ def test_round_trip(documents, monkeypatch, block):
     rows = [(d, prose(d, d * 7 % 900)) for d in range(60)] + [(100 + d, "same") for d in range(40)] + [(3, prose(3, 21))] + ODD
     out = P.pack(documents(rows, salt="a", rank="b", first="c", length="d")).collect()
     own = P.Encoder()
-    enc = lambda x: np.frombuffer(own(x), "<u4")
+    enc = lambda x: np.frombuffer(own([x])[0], "<u4")
     want = Counter()
     for d, text, *_ in rows:
         ids = np.array([*enc(text or ""), 2], "<u4")
@@ -93,6 +93,14 @@ def test_round_trip(documents, monkeypatch, block):
     assert len(seqs) <= 1.05 * sum(r.length for r in out) / 1024 + 1
 
 
+def test_batches_of_texts_agree_with_single_ones():
+    r, own = random.Random(4), P.Encoder()
+    texts = [" ".join(r.choice(["one", "two,", "Zz'll", "3rd", "É", "x\n\ny", "a", "don't", "(b)", "社安x", "w\u00a0v"]) for _ in range(40)) for _ in range(50)]
+    every = own(texts)
+    for t, ids in zip(texts, every, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == own.of.encode(t, add_special_tokens=False).ids
+
+
 def test_very_long_texts(documents):
     rows = [(1, " " * 1_000_000), (2, "\n" * 1_000_000), (3, "x" * 1_000_000), (4, "a b" * 300_000)]
     out = P.pack(documents(rows)).collect()
@@ -105,7 +113,7 @@ def test_registered_query_packs_each_document(spark, sf):
 
     enc, want = P.Encoder(), {}
     for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
-        want[r.doc_id] = np.frombuffer(enc(r.text or "") + b"\x02\0\0\0", "<u4")
+        want[r.doc_id] = np.frombuffer(enc([r.text or ""])[0] + b"\x02\0\0\0", "<u4")
     pieces, seqs = {}, {}
     for r in op5_large_item_packing(spark, sf).collect():
         pieces.setdefault(r.doc_id, []).append(r)
