@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import functools
-import math
-import re
-from collections.abc import Mapping, Sequence
-from typing import Any
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .yaml import to_yaml as to_yaml
+
 VAR_GROUPS = ("data", "support_data", "metadata")
 
 
@@ -80,74 +78,3 @@ def csv_cell(v: Column) -> Column:
 
 def csv_line(columns: Sequence[Column]) -> Column:
     return F.concat_ws(",", *[csv_cell(c) for c in columns])
-
-
-# Characters and words that a YAML scalar can't hold unquoted.
-_INDICATORS = set(":#[]{}&*!|>'\"%@`,\n\t")
-_RESERVED = {"true", "false", "null", "yes", "no", "on", "off"}
-
-
-def _plain_safe(s: str) -> bool:
-    """Whether a YAML reader gives a bare scalar back as this very string."""
-    return bool(s) and s == s.strip() and not _INDICATORS & set(s) and s[0] != "~" and s.lower() not in _RESERVED and not re.match(r"[-?:](\s|$)|[-+.]?\d|[-+]?\.(inf|nan)$", s, re.I)
-
-
-def _yaml_text(s: str) -> str:
-    import json
-
-    return s if _plain_safe(s) else json.dumps(s, ensure_ascii=False)
-
-
-def yaml_scalar(v: Any) -> str:
-    if v is None:
-        return "null"
-    if isinstance(v, bool):
-        return str(v).lower()
-    if isinstance(v, (int, float)):
-        if math.isnan(v):
-            return ".nan"
-        if math.isinf(v):
-            return ".inf" if v > 0 else "-.inf"
-        return str(int(v)) if float(v).is_integer() and abs(v) < 1e21 else repr(v)
-    return _yaml_text(str(v))
-
-
-def to_yaml(value: Any) -> str:
-    """YAML of nested mappings, sequences and scalars; sequences of scalars in flow."""
-    return "\n".join(_yaml_lines(value)) + "\n"
-
-
-@functools.singledispatch
-def _yaml_lines(value: Any) -> list[str]:
-    return [yaml_scalar(value)]
-
-
-def _nested(value: Any) -> bool:
-    return isinstance(value, Mapping) and bool(value) or isinstance(value, (list, tuple)) and any(isinstance(x, (Mapping, list, tuple)) for x in value)
-
-
-@_yaml_lines.register(Mapping)
-def _(value: Mapping) -> list[str]:
-    if not value:
-        return ["{}"]
-    out = []
-    for k, v in value.items():
-        body = _yaml_lines(v)
-        key = _yaml_text(str(k)) + ":"
-        out += [key, *("  " + x for x in body)] if _nested(v) else [f"{key} {body[0]}"]
-    return out
-
-
-@_yaml_lines.register(list)
-@_yaml_lines.register(tuple)
-def _(value: Sequence) -> list[str]:
-    if not _nested(value):
-        return ["[" + ", ".join(yaml_scalar(x) for x in value) + "]"]
-    out = []
-    for x in value:
-        body = _yaml_lines(x)
-        if _nested(x) and not isinstance(x, Mapping):
-            out += ["-", *("  " + y for y in body)]
-        else:
-            out += [f"- {body[0]}", *("  " + y for y in body[1:])]
-    return out

@@ -125,3 +125,43 @@ def test_gates(spark):
     shape = lambda *x: F.array(*[F.lit(i) for i in x])
     got = one(spark, masking.plot_refusal(shape(3), F.lit("CDF_CHAR")), masking.plot_refusal(shape(0, 2), F.lit("CDF_DOUBLE")), masking.plot_refusal(shape(5, 2), F.lit("CDF_DOUBLE")), masking.display_kind(shape(5, 9), F.lit(None).cast("string")), masking.display_kind(shape(5, 9), F.lit(None).cast("string"), "line"))
     assert got[0].startswith("character") and got[1].startswith("no records") and got[2:] == (None, "spectrogram", "line")
+
+
+def test_yaml_is_read_back():
+    """Any text comes back from a YAML reader as itself, in a block and in a flow list."""
+    import random
+
+    import yaml
+
+    r = random.Random(7)
+    odd = ["", " ", "~", "null", "Null", "yes", "NO", "on", "1", "-1.5e3", "0x1F", "0o17", ".inf", "-.INF", ".nan", "1:30", "1_000", "2001-01-01", "---", "--- a", "...", "-", "- a", "-a", "? b", "?b", ":", "a:", "a: b", "a:b", "a #b", "a#b", "#", "[a", "a]", "{", "a,b", "&x", "*x", "!x", "|", ">", "'", "\"", "%", "@", "`", "a\tb", "a\nb", "\r", "\x07", "\x85", "\u2028", "\ufeff", "é", "\U0001f600", "=", "<<", "back\\slash", " lead", "trail ", "a'b", "a b  c"]
+    odd += ["".join(r.choice("ab1 :#-?,[]{}'\"\\\t.~=é") for _ in range(r.randrange(1, 7))) for _ in range(3000)]
+    value = {"list": odd, "map": {f"k{i}": x for i, x in enumerate(odd)}, "nested": [{"a": [1, 2.5, None, True], "b": {"c": []}}, [["x"], []]], "e": {}}
+    assert yaml.safe_load(text.to_yaml(value)) == value
+    keys = {x: i for i, x in enumerate(odd)}
+    assert yaml.safe_load(text.to_yaml(keys)) == keys
+
+
+def test_rle_against_a_loop():
+    import random
+
+    from fluxgate.sources.codec import rle_deflate, rle_inflate
+
+    def packed(raw):
+        out, i = bytearray(), 0
+        while i < len(raw):
+            n = 0
+            while n < 256 and i + n < len(raw) and raw[i + n] == 0:
+                n += 1
+            out += bytes((0, n - 1)) if n else raw[i : i + 1]
+            i += n or 1
+        return bytes(out)
+
+    r = random.Random(1)
+    cases = [b"", b"\0", b"\0\0", b"a", b"\0" * 256, b"\0" * 257, b"\0" * 512, b"a" + b"\0" * 1000 + b"b"]
+    cases += [bytes(r.choice([0, 0, 1, 255]) for _ in range(r.randrange(40))) for _ in range(500)]
+    cases += [b"".join(bytes(r.choice([0, 1, 2, 255, 256, 257, 600])) + bytes([r.randrange(1, 256)]) * r.randrange(3) for _ in range(8)) for _ in range(100)]
+    for raw in cases:
+        assert rle_deflate(raw) == packed(raw) and rle_inflate(packed(raw)) == raw
+        assert rle_inflate(packed(raw), len(raw) // 2) == raw[: len(raw) // 2]
+    assert rle_inflate(b"a\0") == b"a" and rle_inflate(b"\0\0\0") == b"\0"
