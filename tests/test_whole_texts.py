@@ -21,17 +21,17 @@ def run(spark, docs, name):
 
 
 def test_latin1_repair(spark, docs):
-    got = run(spark, docs, "latin1_repair_whole")
+    got = run(spark, docs, "latin1_repair")
     assert [(got[i].utf8, got[i].latin1) for i in range(len(TEXTS))] == [(x, x) for x in TEXTS]
 
 
 def test_pad_trim(spark, docs):
-    got = run(spark, docs, "string_pad_trim_whole")
+    got = run(spark, docs, "string_pad_trim")
     for i, x in enumerate(TEXTS):
         n = None if x is None else len(x.encode())
         assert (got[i].text, got[i].bytes, got[i].padded) == (x and x.rstrip(), n, None if n is None else n + 160)
 
 
 def test_rle_roundtrip(spark, docs):
-    got = run(spark, docs, "rle_roundtrip_whole")
+    got = run(spark, docs, "rle_roundtrip")
     assert [(got[i].bytes, got[i].back) for i in range(len(TEXTS))] == [(None if x is None else len(x.encode()), x) for x in TEXTS]
