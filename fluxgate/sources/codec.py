@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,19 +15,50 @@ NONE, RLE, GZIP, ZSTD = 0, 1, 5, 16
 NAMES = {NONE: "none", RLE: "rle", 2: "huffman", 3: "adaptive_huffman", GZIP: "gzip", ZSTD: "zstd"}
 CODES = {v: k for k, v in NAMES.items()}
 GZIP_LEVEL = 6
-_ZEROS = re.compile(rb"\0{1,256}")
-_RUN = re.compile(rb"\0(.?)", re.S)
 
 
 def rle_deflate(raw: bytes) -> bytes:
     """Each run of 1 to 256 zeros as a zero and the run's length less one."""
-    return _ZEROS.sub(lambda m: bytes((0, len(m[0]) - 1)), raw)
+    a = np.frombuffer(raw, np.uint8)
+    zero = a == 0
+    ends = np.flatnonzero(np.diff(zero, prepend=False, append=False))
+    first, size = ends[::2], ends[1::2] - ends[::2]
+    if not len(first):
+        return raw
+    if size.max() > 256:  # longer runs are several
+        per = (size + 255) >> 8
+        nth = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+        first, size = np.repeat(first, per) + 256 * nth, np.minimum(np.repeat(size, per) - 256 * nth, 256)
+    # the first zero of each run stays, and its count goes behind it
+    stays = ~zero
+    stays[first] = True
+    kept = a[stays]
+    behind = np.flatnonzero(kept == 0) + np.arange(1, len(first) + 1)
+    out = np.empty(len(kept) + len(first), np.uint8)
+    is_count = np.zeros(len(out), bool)
+    is_count[behind] = True
+    out[behind] = size - 1
+    out[~is_count] = kept
+    return out.tobytes()
 
 
 def rle_inflate(packed: bytes, size: int | None = None) -> bytes:
     """The inverse; a zero without its count at the end is dropped, and the output
     stops at ``size`` bytes."""
-    out = _RUN.sub(lambda m: bytes(m[1][0] + 1) if m[1] else b"", packed)
+    a = np.frombuffer(packed, np.uint8)
+    zero = np.flatnonzero(a == 0)
+    if not len(zero):
+        return packed if size is None else packed[:size]
+    # what follows a byte other than zero begins anew, so of adjacent zeros each second is a count
+    begins = np.concatenate([[True], zero[1:] != zero[:-1] + 1])
+    nth = zero - zero[begins][np.cumsum(begins) - 1]
+    mark = zero[nth & 1 == 0]
+    times = np.ones(len(a), np.int64)
+    if mark[-1] == len(a) - 1:
+        times[mark[-1]], mark = 0, mark[:-1]
+    times[mark] = a[mark + 1].astype(np.int64) + 1
+    times[mark + 1] = 0
+    out = np.repeat(a, times).tobytes()
     return out if size is None else out[:size]
 
 

@@ -275,6 +275,9 @@ class Parser:
         first = blocks[0].first if blocks else 0
         count = min(var.record_count, blocks[-1].last + 1) - first if blocks else 0
         raw = bytearray(count * var.record_bytes)
+        for before, b in zip(blocks, blocks[1:]):
+            if b.first > before.last + 1:
+                raise ValueError(f"{var.name}: sparse records aren't supported; none holds {before.last + 1} to {b.first - 1}")
         for b in blocks:
             got = self.block_bytes(var, b)
             a = (b.first - first) * var.record_bytes

@@ -10,9 +10,10 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSourceArrowWriter, WriterCommitMessage
 
 from .build import Builder
 
@@ -79,44 +80,52 @@ class _Written(WriterCommitMessage):
     staged: str | None
 
 
-class CdfWriter(DataSourceWriter):
-    """One file per partition under the option ``path``; files appear on commit by
-    renaming, so a failed or repeated task leaves none behind."""
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system that a path or URI names, and the path on it."""
+    if "://" in path or path.startswith("file:"):
+        return fs.FileSystem.from_uri(path if "://" in path else path.replace("file:", "file://", 1))
+    return fs.LocalFileSystem(), os.path.abspath(path)
+
+
+class CdfWriter(DataSourceArrowWriter):
+    """One file per partition under the option ``path``, on any file system that
+    pyarrow knows by URI; files appear on commit by renaming on it, so a failed or
+    repeated task leaves none behind."""
 
     def __init__(self, options: dict[str, str], schema: T.StructType, overwrite: bool):
-        self.path, self.overwrite = options["path"].removeprefix("file://"), overwrite
+        self.uri, self.overwrite = options["path"], overwrite
         self.compression = options.get("compression", "none")
         self.variable_compression = options.get("variablecompression", "none")
         self.kinds = {f.name: options.get(f"type.{f.name}".lower()) or column_type(f.dataType) for f in schema if f.name not in ("rec", "file_id")}
-        self.names = schema.names
-        self.stage = os.path.join(self.path, f"_stage-{uuid.uuid4().hex}")
+        self.stage = f"_stage-{uuid.uuid4().hex}"
 
-    def write(self, iterator: Iterator[Any]) -> WriterCommitMessage:
-        rows = [r.asDict(recursive=True) for r in iterator]
-        if not rows:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
+        batches = [b for b in iterator if b.num_rows]
+        if not batches:
             return _Written(None)
-        os.makedirs(self.stage, exist_ok=True)
-        name = os.path.join(self.stage, f"part-{uuid.uuid4().hex}.cdf")
-        with open(name, "wb") as f:
-            f.write(build_file(pa.Table.from_pylist(rows), self.kinds, self.compression, self.variable_compression))
+        store, path = file_system(self.uri)
+        store.create_dir(f"{path}/{self.stage}", recursive=True)
+        name = f"part-{uuid.uuid4().hex}.cdf"
+        with store.open_output_stream(f"{path}/{self.stage}/{name}") as f:
+            f.write(build_file(pa.Table.from_batches(batches), self.kinds, self.compression, self.variable_compression))
         return _Written(name)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        os.makedirs(self.path, exist_ok=True)
+        store, path = file_system(self.uri)
+        store.create_dir(path, recursive=True)
         if self.overwrite:
-            for f in os.listdir(self.path):
-                if f.endswith(".cdf"):
-                    os.remove(os.path.join(self.path, f))
+            for f in store.get_file_info(fs.FileSelector(path)):
+                if f.is_file and f.base_name.endswith(".cdf"):
+                    store.delete_file(f.path)
         for m in messages:
             if m is not None and m.staged:
-                os.replace(m.staged, os.path.join(self.path, os.path.basename(m.staged)))
+                store.move(f"{path}/{self.stage}/{m.staged}", f"{path}/{m.staged}")
         self._clear()
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         self._clear()
 
     def _clear(self) -> None:
-        if os.path.isdir(self.stage):
-            for f in os.listdir(self.stage):
-                os.remove(os.path.join(self.stage, f))
-            os.rmdir(self.stage)
+        store, path = file_system(self.uri)
+        if store.get_file_info(f"{path}/{self.stage}").type == fs.FileType.Directory:
+            store.delete_dir(f"{path}/{self.stage}")
