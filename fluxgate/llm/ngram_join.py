@@ -15,6 +15,8 @@ or more for each n-gram, are verified on the exact n-grams."""
 
 from __future__ import annotations
 
+import bisect
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +36,7 @@ SPARE = 1.5
 #: 64-bit words of the sketches that candidates are held against inside the join;
 #: longer sets are held against all words of theirs when they have passed it.
 INSIDE = 32
+_ZERO, _TRUE = np.zeros(1, np.int64), np.ones(1, bool)
 #: Set keys that a task remembers so as not to send a copy's parts again.
 SEEN = 200_000
 #: Parts whose holders a task counts at a time, holders that make a part hot, hot
@@ -52,6 +55,11 @@ def band_edges(largest: int) -> list[int]:
     return edges
 
 
+@functools.cache
+def known_edges(largest: int) -> list[int]:
+    return band_edges(largest)
+
+
 def words_of(text: str | None) -> list[bytes]:
     # bytes.split() without argument splits at exactly \x20 and \x09-\x0D
     return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
@@ -67,10 +75,11 @@ def shingles(text: str | None, n: int) -> frozenset[bytes]:
 def _mix(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes so that all bits can be used."""
     h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
+    h *= np.uint64(0xFF51AFD7ED558CCD)
+    h ^= h >> np.uint64(33)
+    h *= np.uint64(0xC4CEB9FE1A85EC53)
+    h ^= h >> np.uint64(33)
+    return h
 
 
 def shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
@@ -79,8 +88,12 @@ def shingle_hashes(words: list[bytes], n: int) -> np.ndarray:
     k = min(n, len(words))
     out = np.full(len(words) - k + 1, np.uint64(k))
     for i in range(k):
-        out = (out ^ h[i : i + len(out)]) * np.uint64(0x9E3779B97F4A7C15) + (out >> np.uint64(29))
-    return np.unique(_mix(out))
+        old = out >> np.uint64(29)
+        out ^= h[i : i + len(out)]
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += old
+    out = np.sort(_mix(out))
+    return out[np.concatenate([_TRUE, out[1:] != out[:-1]])]
 
 
 def set_key(h: np.ndarray) -> bytes:
@@ -100,7 +113,7 @@ def parity_words(h: np.ndarray, words: int) -> np.ndarray:
     order = np.argsort(word, kind="stable")
     bit = np.uint64(1) << (h[order] & np.uint64(63))
     word = word[order]
-    start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    start = np.flatnonzero(np.concatenate([_TRUE, word[1:] != word[:-1]]))
     out = np.zeros(words, np.uint64)
     out[word[start].astype(np.int64)] = np.bitwise_xor.reduceat(bit, start)
     return out
@@ -128,8 +141,9 @@ def signatures(h: np.ndarray, percent: int, hot: np.ndarray | None = None) -> tu
     at most d others: it is among the first d + 1 of both.  Two sets that fill d
     parts or fewer have nothing to count on; such sets therefore keep their first
     d + 1 n-grams as well, of which the same holds, as they have more than d."""
-    n, edges = len(h), band_edges(len(h))
-    k = len(edges) - 2
+    n = len(h)
+    edges = known_edges(1 << n.bit_length())
+    k = bisect.bisect_right(edges, n) - 1
     every, kept = [], []
     for level in range(k, -1, -1):
         # the smaller set of a pair of this level is below the next edge
@@ -138,20 +152,22 @@ def signatures(h: np.ndarray, percent: int, hot: np.ndarray | None = None) -> tu
         d = allowed(edges[level + 1] - 1, percent)
         if d == 0:  # only equal sets can link
             continue
-        parts = int(SPARE * (d + 1)) + 1
-        own = _mix(h ^ np.uint64(level + 1))
-        part = ((own >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-        order = np.argsort(part, kind="stable")
-        part = part[order]
-        start = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-        held = np.diff(np.r_[start, n])
-        word = np.bitwise_xor.reduceat(_mix(own[order] + np.uint64(1)), start)
-        sig = _mix(_mix(word + np.uint64(level * 2 + 1)) ^ (part[start] * np.uint64(0x9E3779B97F4A7C15)))
-        rank = [sig, -held] if hot is None or not len(hot) else [sig, -held, np.isin(sig, hot)]
+        # parts are cut by the hashes' upper half, so sorted hashes lie part by part
+        part = ((h >> np.uint64(32)) * np.uint64(int(SPARE * (d + 1)) + 1)) >> np.uint64(32)
+        start = np.flatnonzero(part[1:] != part[:-1])
+        start += 1
+        start = np.concatenate([_ZERO, start])
+        held = np.diff(start, append=n)
+        sig = _mix(np.bitwise_xor.reduceat(h, start) + np.uint64(level * 2 + 1))
         every.append(sig)
-        kept.append(sig[np.lexsort(rank)[: d + 1]])
+        if len(sig) > d + 1:
+            rank = (sig >> np.uint64(8)) | (np.uint64(127) - np.minimum(held, 127).astype(np.uint64)) << np.uint64(56)
+            if hot is not None and len(hot):
+                rank |= np.isin(sig, hot).astype(np.uint64) << np.uint64(63)
+            sig = sig[rank <= np.partition(rank, d)[d]]
+        kept.append(sig)
         if len(start) <= d:
-            kept.append(_mix(np.partition(own, d)[: d + 1] + np.uint64(level * 2)) if n > d + 1 else _mix(own + np.uint64(level * 2)))
+            kept.append(_mix(h[: d + 1] + np.uint64(level * 2)))
     none = np.zeros(0, np.uint64)
     return np.concatenate(every or [none]), np.concatenate(kept or [none])
 
@@ -369,7 +385,8 @@ def near_copy_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
             scratch.drop(f"{name}-{what}")
         return out
 
-    hubs = at.groupBy("sig").agg(F.max(me).alias("y"))
+    # written first, so that the join reads plain rows and a hot key's can be split
+    hubs = scratch.keep(at.groupBy("sig").agg(F.max(me).alias("y")), "hubs")
     first = at.select("sig", me.alias("x")).join(hubs.hint("merge"), "sig").where("x.id <> y.id").where(F.expr(near))
     pairs = scratch.keep(first.select(*ends).distinct(), "pairs")
     links = verified(pairs, "links1")
@@ -377,6 +394,7 @@ def near_copy_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
 
     at = at.join(label.select("id", "label").hint("merge"), "id", "left").withColumn("comp", F.coalesce("label", "id")).drop("label")
     mixed = at.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
+    mixed = scratch.keep(mixed, "mixed-sigs")
     mixed = scratch.keep(at.join(mixed.hint("merge"), "sig").drop("degree"), "mixed")
     scratch.drop("at")
     rest = grid_pairs(mixed, "sig", F.ceil(F.col("holders") / CELL), f"x.comp <> y.comp and {near}")
@@ -385,7 +403,7 @@ def near_copy_groups(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFram
     more = verified(rest.join(known, ["a", "b"], "left_anti"), "links2")
     if not more.isEmpty():
         label = components(links.unionByName(more), scratch, "cc2")
-    for name in ("mixed", "pairs"):
+    for name in ("mixed", "mixed-sigs", "hubs", "pairs"):
         scratch.drop(name)
 
     named = nodes.select("id", "doc").join(label, "id", "left").withColumn("root", F.coalesce("label", "id"))
