@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import bisect
+import functools
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +23,8 @@ ROWS_PER_BLOCK = 200
 #: Where a text may be cut without changing its ids: between what is no white space
 #: and a space, and between an ASCII letter and an ASCII mark.
 _SEAM = re.compile(r"(?<=\S)(?= )|(?<=[A-Za-z])(?=[!-/:-@\[-`{-~])")
-#: Parts that a task remembers, characters of such a part, and of parts encoded at once.
-PARTS, PART_CHARS, JOINED = 400_000, 40, 1 << 16
+#: Parts that a worker remembers, characters of such a part, and of parts encoded at once.
+PARTS, PART_CHARS, JOINED = 1_000_000, 40, 1 << 16
 
 
 def vocabulary_path(name: str) -> str:
@@ -77,16 +79,23 @@ class Encoder:
         """The ids of each text as little-endian 32-bit numbers."""
         if len(self.known) >= PARTS:
             self.known.clear()
-        cut = [_SEAM.split(t) for t in texts]
-        new = self._new([p for p in {p for parts in cut for p in parts} if p not in self.known])
+        cut = [*map(_SEAM.split, texts)]
+        new = self._new([*set(chain.from_iterable(cut)).difference(self.known)])
         self.known.update(new)
-        out = [b"".join([self.known[p] for p in parts]) for parts in cut]
+        of = self.known.__getitem__
+        out = [b"".join(map(of, parts)) for parts in cut]
         for p in new:
             if len(p) > PART_CHARS:
                 del self.known[p]
         return out
 
 
+@functools.cache
+def shared_encoder(name: str) -> Encoder:
+    """One for all tasks of a worker process: what it remembers helps the next task."""
+    return Encoder(name)
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: one if it fits, else full pieces
     behind a first piece that takes what is left over."""
@@ -98,7 +107,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _pieces(name: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(name), np.array([end_id], "<u4").tobytes()
+        encode, end = shared_encoder(name), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32")}
             texts = [t or "" for t in batch.column("text").to_pylist()]
