@@ -12,6 +12,14 @@ import numpy as np
 from .time import EPOCH_MS, EPOCH_S, LEAPS, SECOND, TT2000_LEAPS, TT2000_NS
 
 
+class TT2000(NamedTuple):
+    nseconds: int
+
+
+class Epoch(NamedTuple):
+    mseconds: float
+
+
 class Epoch16(NamedTuple):
     seconds: float
     picoseconds: float
@@ -51,7 +59,11 @@ def to_datetime(values: Any, cdf_type: str) -> list:
 
 
 def ns_of(values: Any) -> np.ndarray:
-    """datetimes, datetime64 of any unit, or lists of both, to nanoseconds since 1970."""
+    """datetimes, datetime64 of any unit, the classes above, or lists of all these, to
+    nanoseconds since 1970."""
+    for kind, name in ((TT2000, "CDF_TIME_TT2000"), (Epoch, "CDF_EPOCH"), (Epoch16, "CDF_EPOCH16")):
+        if isinstance(values, kind):
+            return to_ns(values if kind is Epoch16 else values[0], name)[()]
     if isinstance(values, np.ndarray) and values.dtype.kind == "M":
         return values.astype("datetime64[ns]").astype("i8")
     if isinstance(values, (list, tuple)):

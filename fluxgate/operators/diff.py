@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STATUSES = ("changed", "added", "removed", "same")
@@ -100,7 +100,20 @@ def diff_lines(a: Model, b: Model, include_same: bool = False) -> DataFrame:
 
 def ordered(lines: DataFrame) -> DataFrame:
     """Diff lines in reading order: sections, then items by status and name."""
-    heads = lines.where("kind = 'item'").select("section", "item", rank(F.col("status")).alias("_rank"))
-    section = F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("section"))
-    out = lines.join(heads, ["section", "item"], "left").orderBy(section, F.coalesce("_rank", F.lit(0)), F.coalesce("item", F.lit("")), F.col("kind") != "item", "ord", "detail")
+    return _ranked(lines).orderBy(*map(F.expr, _READING)).drop("_rank")
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """Diff lines with their place in reading order, ``line``, from 0.  A diff of two
+    files' metadata is small: the number is counted in one task."""
+    out = _ranked(lines).withColumn("line", (F.row_number().over(Window.orderBy(*map(F.expr, _READING))) - 1).cast("bigint"))
     return out.drop("_rank")
+
+
+def _ranked(lines: DataFrame) -> DataFrame:
+    heads = lines.where("kind = 'item'").select("section", "item", rank(F.col("status")).alias("_rank"))
+    return lines.join(heads, ["section", "item"], "left").withColumn("_rank", F.coalesce("_rank", F.lit(0)))
+
+
+#: Columns of reading order: sections, statuses, names, an item before its details.
+_READING = [f"array_position(array({', '.join(repr(s) for s in SECTIONS)}), section)", "_rank", "coalesce(item, '')", "kind <> 'item'", "ord", "detail"]

@@ -1,4 +1,4 @@
-"""Building CDF files (version 3, z-variables, row-major, little-endian)."""
+"""Building CDF files (version 3, z-variables, row-major)."""
 
 from __future__ import annotations
 
@@ -12,7 +12,8 @@ import numpy as np
 from ..types import CHAR_TYPES, TYPES, compatible, infer, shapes_compatible
 from . import codec
 
-_LITTLE = 6  # the encoding code of this writer's data
+# Codes of the encodings that this writer knows, and numpy's names of their byte orders.
+_ENCODINGS = {"little": (6, "<"), "big": (1, ">")}
 _COPYRIGHT = b"Common Data Format (CDF)"
 #: Most bytes of a block.
 BLOCK_BYTES = 1 << 30
@@ -62,8 +63,9 @@ def _typed(values: Any, data_type: str | None) -> tuple[str, tuple[int, ...], np
 class Builder:
     """Collects variables and attributes, and gives the bytes of a file."""
 
-    def __init__(self, compression: str = "none", block_bytes: int = BLOCK_BYTES):
+    def __init__(self, compression: str = "none", block_bytes: int = BLOCK_BYTES, byte_order: str = "little"):
         self.compression, self.block_bytes = compression, block_bytes
+        self._encoding, self._order = _ENCODINGS[byte_order]
         self.variables: dict[str, NewVariable] = {}
         self.attributes: dict[str, list[tuple[str, Any]]] = {}
         for c in (compression,):
@@ -143,7 +145,7 @@ class Builder:
         def patch(at: int, fmt: str, *values: int) -> None:
             struct.pack_into(">" + fmt, out, at, *values)
 
-        cdr = record(1, struct.pack(">Q9i", 0, 3, 8, _LITTLE, 3, 0, 0, 0, -1, -1) + _COPYRIGHT.ljust(256, b"\0"))
+        cdr = record(1, struct.pack(">Q9i", 0, 3, 8, self._encoding, 3, 0, 0, 0, -1, -1) + _COPYRIGHT.ljust(256, b"\0"))
         gdr = record(2, struct.pack(">QQQQiiiiiQiii", 0, 0, 0, 0, 0, 0, -1, 0, len(self.variables), 0, 0, 20170101, -1))
         patch(cdr + 12, "Q", gdr)
         order = list(self.variables)
@@ -162,7 +164,7 @@ class Builder:
             link = adr + (20 if scope == 1 else 48)
             for i, kind, value in entries:
                 t = TYPES[kind]
-                raw = value if isinstance(value, bytes) else value.astype(np.dtype(t.dtype).newbyteorder("<")).tobytes()
+                raw = value if isinstance(value, bytes) else value.astype(np.dtype(t.dtype).newbyteorder(self._order)).tobytes()
                 edr = record(5 if scope == 1 else 9, struct.pack(">Q9i", 0, num, t.code, i, len(raw) // t.size, int(kind in CHAR_TYPES), 0, 0, -1, -1) + raw)
                 patch(link, "Q", edr)
                 link = edr + 12
@@ -192,7 +194,7 @@ class Builder:
             patch(at + 12 + 60, "Q", record(11, struct.pack(">iiii", code, 0, 1, codec.GZIP_LEVEL if code == codec.GZIP else 0)))
         if not count:
             return at
-        raw = var.data.astype(np.dtype(t.dtype).newbyteorder("<")).tobytes() if not char else var.data.tobytes()
+        raw = var.data.astype(np.dtype(t.dtype).newbyteorder(self._order)).tobytes() if not char else var.data.tobytes()
         per = max(1, self.block_bytes // max(1, width))
         starts = list(range(0, count, per))
         ends = [min(count, s + per) - 1 for s in starts]

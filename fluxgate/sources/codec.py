@@ -71,7 +71,10 @@ def inflate(code: int, packed: bytes, size: int) -> bytes:
     elif code == ZSTD:
         import zstandard
 
-        out = zstandard.ZstdDecompressor().decompress(packed, max_output_size=size)[:size]
+        try:
+            out = zstandard.ZstdDecompressor().decompress(packed, max_output_size=size)[:size]
+        except zstandard.ZstdError as e:
+            raise ValueError(f"corrupt block: {e}") from e
     else:
         raise ValueError(f"unsupported compression: {NAMES.get(code, code)}")
     if len(out) < size:
@@ -97,6 +100,25 @@ def _column(fn, c: Column) -> Column:
     return run(c)
 
 
+def inflate_column(code: Column, packed: Column, size: Column) -> Column:
+    """struct(content, error): ``inflate`` for columns.  A block that it refuses, or that
+    its library can't read, has null content and the reason; null packed gives both null."""
+
+    def one(c: int, p: bytes, n: int) -> tuple[bytes | None, str | None]:
+        try:
+            return inflate(c, bytes(p), n), None
+        except (ValueError, zlib.error) as e:
+            return None, str(e)
+
+    @F.pandas_udf("content binary, error string")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for codes, blocks, sizes in batches:
+            rows = [(None, None) if p is None else one(int(c), p, int(n)) for c, p, n in zip(codes, blocks, sizes, strict=True)]
+            yield pd.DataFrame(rows, columns=["content", "error"], dtype=object)
+
+    return run(code, packed, size)
+
+
 def rle_deflate_column(c: Column) -> Column:
     return _column(rle_deflate, c)
 

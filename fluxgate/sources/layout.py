@@ -41,13 +41,16 @@ class Memory:
 
 
 class RandomFile:
-    """A path or URI of any file system that pyarrow opens."""
+    """A path or URI of any file system that pyarrow opens; local files are mapped into
+    memory, so a read of a few descriptors touches few pages."""
 
     def __init__(self, path: str):
+        import pyarrow as pa
         from pyarrow import fs
 
         system, name = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-        self.file = system.open_input_file(name)
+        mapped = isinstance(system, fs.LocalFileSystem) and system.get_file_info(name).size
+        self.file = pa.memory_map(name) if mapped else system.open_input_file(name)
 
     def read(self, at: int, size: int) -> bytes:
         return self.file.read_at(size, at)
