@@ -184,3 +184,34 @@ def cdf_write_read(spark: SparkSession, d: str) -> DataFrame:
     own = lambda n, c: F.first(F.when(F.col("variable") == n, F.get(c, 0)), ignorenulls=True)
     wide = r.groupBy("file_id", "rec").agg(own("id", "v_long").alias("id"), own("Epoch", "v_long").alias("tt"), own("value", "v_double").alias("value"), own("event_type", "v_str").alias("event_type"))
     return wide.select(F.col("file_id").cast("bigint").alias("user_id"), F.col("id").alias("rec"), time.tt2000_to_ns(F.col("tt")).alias("ns"), "value", "event_type")
+
+
+_LINES = """items as (select grp as section, name as item, status from vars union all select 'global', attr, status from globals),
+  lines as (select distinct section, null as item, 'section' as kind, null as detail, null as status, null as a, null as b, 0 as ord from items union all select section, item, 'item', null, status, null, null, 0 from items
+  union all select grp, fields.name, 'detail', field, fields.status, a, b, ord + 1 from fields join vars using (name) union all select grp, attrs.name, 'detail', attr, attrs.status, a, b, 10 from attrs join vars using (name)
+  union all select 'global', attr, 'detail', '[' || entry_index || ']', status, a, b, entry_index + 1 from entries)"""
+
+
+@query(f"""{_CTE}, {_FIELDS}, {_ATTRS}, {_VARS}, {_ENTRIES}, {_GLOBALS}, {_LINES}
+  select row_number() over (order by list_position(['global', 'data', 'support_data', 'metadata'], lines.section), coalesce(list_position(['changed', 'added', 'removed', 'same'], items.status), 0), coalesce(lines.item, ''), kind <> 'item', ord, detail nulls first) - 1 as line,
+  lines.section, lines.item, kind, detail, lines.status, a, b from lines left join items on items.section = lines.section and items.item = lines.item""")
+def diff_reading_order(spark: SparkSession, d: str) -> DataFrame:
+    """All lines of a diff, equal items too, with their places."""
+    return diff.numbered(diff.diff_lines(*_models(spark, d), include_same=True)).select("line", "section", "item", "kind", "detail", "status", "a", "b")
+
+
+_VALUES = "select p_partkey, case when p_partkey % 4 = 0 then '  ' || p_type || ' ' when p_partkey % 4 = 1 then ' ' || p_size || '.5 ' end as s, case when p_partkey % 4 = 2 then [p_size, p_partkey] end as l from part"
+
+
+@query(f"""select p_partkey, coalesce(trim(s), array_to_string(l, ', '), '') as text, coalesce(l[1]::DOUBLE, try_cast(trim(s) as DOUBLE)) as number,
+  case when lower(trim(s)) in ('promo', 'economy') then 'log' else 'linear' end as plain_scale, p_partkey * 500 <= 2000000 as previewable from ({_VALUES})""")
+def attribute_values(spark: SparkSession, d: str) -> DataFrame:
+    """Canonical text, number and axis scale of attribute values, and whether a preview is made."""
+    from ..operators import masking
+
+    k = F.col("p_partkey")
+    s = F.when(k % 4 == 0, F.concat(F.lit("  "), "p_type", F.lit(" "))).when(k % 4 == 1, F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(".5 ")))
+    v = table(spark, d, "part").select("p_partkey", s.alias("s"), F.when(k % 4 == 2, F.array(F.col("p_size").cast("bigint"), k)).alias("l"), F.lit(None).cast("array<double>").alias("f"))
+    parts = [F.col(c) for c in ("s", "l", "f")]
+    scale = F.when(F.lower(F.trim("s")).isin("promo", "economy"), " LOG ").otherwise(F.col("s"))
+    return v.select("p_partkey", text.value_text(*parts).alias("text"), text.numeric_attribute(*parts).alias("number"), text.scale_type(scale, "linear").alias("plain_scale"), masking.previewable(F.array(k, F.lit(500))).alias("previewable"))

@@ -33,6 +33,9 @@ class Memory:
     def __init__(self, raw: bytes | memoryview):
         self.raw = memoryview(raw)
 
+    def __deepcopy__(self, memo: dict) -> Memory:
+        return self  # read-only, so copies of what was parsed share it
+
     def read(self, at: int, size: int) -> bytes:
         return bytes(self.raw[at : at + size])
 
@@ -52,6 +55,9 @@ class RandomFile:
         mapped = isinstance(system, fs.LocalFileSystem) and system.get_file_info(name).size
         self.file = pa.memory_map(name) if mapped else system.open_input_file(name)
 
+    def __deepcopy__(self, memo: dict) -> RandomFile:
+        return self  # read-only, so copies of what was parsed share it
+
     def read(self, at: int, size: int) -> bytes:
         return self.file.read_at(size, at)
 

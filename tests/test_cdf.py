@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fluxgate.functions import time as t
 from fluxgate.operators import catalog, diff
-from fluxgate.sources import export, reader, writer
+from fluxgate.sources import codec, export, reader, writer
 from fluxgate.sources.build import Builder
 from fluxgate.sources.layout import Memory, Parser, decode_text
 
@@ -61,6 +61,30 @@ def test_column_major_is_swapped():
     assert np.array_equal(q.values(var)[1], want)
 
 
+@pytest.mark.parametrize("compression", ["none", "gzip", "rle"])
+def test_byte_orders_agree(compression):
+    def tables(order):
+        b = Builder(compression, 100, order)
+        b.add_variable("d", np.arange(50.0) / 7, compression=compression, attributes={"top": [2.5]})
+        b.add_variable("e", np.arange(20.0).reshape(10, 2), "CDF_EPOCH16")
+        b.add_variable("s", ["ab", "c"], "CDF_CHAR")
+        b.add_variable("i", np.arange(9, dtype="i2"))
+        p = Parser(Memory(b.to_bytes()))
+        return p.file.encoding, [(p.values(v)[1].tolist(), [e.value if isinstance(e.value, str) else e.value.tolist() for _, e in p.attributes_of(v)]) for v in p.file.variables]
+
+    (little, a), (big, b) = tables("little"), tables("big")
+    assert (little, big) == (6, 1) and a == b
+
+
+def test_inflate_column(spark):
+    rows = [(1, b"a\0\4", 6), (1, b"a\0\4", 7), (5, b"no gzip", 3), (16, b"no zstd", 3), (2, b"x", 1), (1, None, 1), (1, b"", 0)]
+    df = spark.createDataFrame(rows, "c int, p binary, n int").repartition(1)
+    got = [r[0] for r in df.select(codec.inflate_column(F.col("c"), F.col("p"), F.col("n"))).collect()]
+    by = {(r["content"] and bytes(r["content"]), (r["error"] or "")[:7]) for r in got}
+    assert (b"a\0\0\0\0\0", "") in by and (None, "corrupt") in by and (None, "unsuppo") in by and (None, "") in by and (b"", "") in by
+    assert sum(r["error"] is not None for r in got) == 4
+
+
 def test_not_a_cdf():
     with pytest.raises(ValueError):
         Parser(Memory(b"hello world"))

@@ -38,6 +38,20 @@ def test_round_trip(tmp_path, lazy):
     assert d != c
 
 
+def test_copies_of_files_not_yet_read(tmp_path):
+    c = sample()
+    path = str(tmp_path / "a.cdf")
+    save(c, path)
+    for d in (load(path), load(save(c))):
+        assert copy.deepcopy(d) == c and sorted(d.filter(variables="var").keys()) == ["var1", "var2", "var3"]
+
+
+def test_time_scalars():
+    assert s.TT2000(5) == s.TT2000(5) and s.Epoch(1.0) != s.Epoch(2.0) and s.Epoch16(1.0, 2.0).picoseconds == 2.0
+    day = s.ns_of([s.TT2000(t.tt2000_of_ns(86400 * 10**9)), s.Epoch(t.EPOCH_MS + 86400000.0), s.Epoch16(t.EPOCH_S + 86400.0, 0.0), datetime(1970, 1, 2)])
+    assert day.tolist() == [86400 * 10**9] * 4
+
+
 def test_load_failures(tmp_path):
     (tmp_path / "no.cdf").write_bytes(b"hello, this is no such file")
     assert load(str(tmp_path / "no.cdf")) is None and load(str(tmp_path / "absent.cdf")) is None and load(b"") is None

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from fluxgate.plans import catalogs, times, values  # noqa: F401
+from fluxgate.plans import catalogs, containers, times, values  # noqa: F401
 from fluxgate.plans.registry import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
