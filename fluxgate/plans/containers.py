@@ -260,7 +260,7 @@ def time_inputs(spark: SparkSession, d: str) -> DataFrame:
             mixed = [kinds[int(k) % 5](i) for i, k in enumerate(ids)]
             # an EPOCH holds whole milliseconds here, and is converted in doubles
             back = scalars.to_ns(scalars.to_tt2000(mixed), "CDF_TIME_TT2000")
-            yield pa.RecordBatch.from_pydict({"event_id": ids, "tt2000": tt, "bulk_ns": scalars.ns_of([scalars.Epoch16(*map(float, x)) for x in e16]), "epoch": scalars.to_epoch(e16, "CDF_EPOCH16"), "seconds": e16[:, 0], "picoseconds": e16[:, 1], "back": back})
+            yield pa.RecordBatch.from_pydict({"event_id": ids, "tt2000": tt, "bulk_ns": scalars.ns_of([scalars.Epoch16(*map(float, x)) for x in e16]), "epoch": e, "seconds": e16[:, 0], "picoseconds": e16[:, 1], "back": back})
 
     e = table(spark, d, "events").select("event_id", time.timestamp_to_ns(F.col("ts")).alias("ns"))
     return e.mapInArrow(run, "event_id bigint, tt2000 bigint, bulk_ns bigint, epoch double, seconds double, picoseconds double, back bigint")
