@@ -9,7 +9,8 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import pairwise
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +21,18 @@ from .common import Scratch, bounded_batches, fewer_tasks
 
 #: Rows of one length that one window task ranks, on average.
 ROWS_PER_BLOCK = 200
-#: Where a text may be cut without changing its ids: between what is no white space
-#: and a space, and between an ASCII letter and an ASCII mark.
-_SEAM = re.compile(r"(?<=\S)(?= )|(?<=[A-Za-z])(?=[!-/:-@\[-`{-~])")
-#: Parts that a worker remembers, characters of such a part, and of parts encoded at once.
-PARTS, PART_CHARS, JOINED = 1_000_000, 40, 1 << 16
+#: Texts are cut and looked up in windows of so many bytes (more where they have no seam).
+WINDOW = 4 << 20
+#: Parts of a generation that a worker remembers (it has two), and bytes of such a part.
+PARTS, PART_BYTES = 1 << 17, 40
+#: Words of one kind of letter, maybe behind a space: one unit of the vocabulary's rules.
+_WORD = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4-\xca\xd0\xd1][\x80-\xbf]|[\xe5-\xe8][\x80-\xbf]{2})+")
+#: What a byte may be: of a space's, mark's or (surely) other visible character's begin ...
+_WHITE, _MARK = 1, 2
+_AT = np.array([_WHITE if b in b" \t\n\x0b\x0c\r" else _MARK if re.match(rb"[!-/:-@\[-`{-~]", bytes([b])) else 0 for b in range(256)], np.uint8)
+_SEEN = np.array([0x21 <= b <= 0x7E or 0xC3 <= b <= 0xDF for b in range(256)])
+#: ... and what seams may follow it: before white space behind what may be visible, before marks behind ASCII letters.
+_BEHIND = np.array([(0x21 <= b <= 0x7E or b >= 0x80) * _WHITE + chr(b).isalpha() * (b < 0x80) * _MARK for b in range(256)], np.uint8)
 
 
 def vocabulary_path(name: str) -> str:
@@ -34,60 +42,125 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def seams(data: np.ndarray, start: int, stop: int) -> np.ndarray:
+    """For each place from start to stop whether UTF-8 bytes may be cut there without
+    changing the ids: between what is surely no white space and ASCII white space,
+    between an ASCII letter and an ASCII mark, and behind a lone line feed."""
+    out = np.zeros(stop - start, bool)
+    np.bitwise_and(_AT[data[start + 1 : stop]], _BEHIND[data[start : stop - 1]], out=out[1:].view(np.uint8))
+    at = np.flatnonzero(out.view(np.uint8)) + start
+    # white space outside ASCII is U+0085, U+00A0, U+1680, U+2000 to U+205F and U+3000
+    far = np.flatnonzero(data[at - 1] >= 0x80)
+    one, two = data[np.maximum(at[far] - 2, 0)], data[np.maximum(at[far] - 3, 0)]
+    maybe = (one == 0xC2) | (two == 0xE1) & (one == 0x9A) | (two == 0xE2) & ((one == 0x80) | (one == 0x81)) | (two == 0xE3) & (one == 0x80)
+    out[at - start] = True
+    out[at[far[maybe]] - start] = False
+    lone = np.flatnonzero(out & (data[start:stop] == 10)) + 1
+    lone = lone[lone < len(out)]
+    out[lone[_SEEN[data[lone + start]]]] = True
+    return out
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(sorted({*range(256)}.difference(own)))}
+
+
 class Encoder:
     """Texts to ids of the named vocabulary, by ``tokenizers``.
 
     The vocabulary's rules take a space only at the head of a word or within a run of
     white space, and marks never with letters before them: nothing they join crosses a
-    seam (see ``_SEAM``), and none looks back across it.  So a text may be cut there,
-    and the parts' ids are the text's ids.  Parts that come often are remembered.  Names
-    of special tokens in a text are ordinary text."""
+    seam (see ``seams``), and none looks back across it.  So a text may be cut there,
+    and the parts' ids are the text's ids.  Each window's different parts are looked up
+    once, and those that come often are remembered: two generations of PARTS parts, and
+    what one window adds, of at most PART_BYTES each; the older goes when the younger is full.
+    Names of special tokens in a text are ordinary text."""
 
     def __init__(self, name: str = "byte_bpe_50k.json"):
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(vocabulary_path(name))
         self.of.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _new(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of parts.  Those that begin with a space and don't end in white space go
-        joined, many at a time: there is a seam between any two."""
-        out, joined, size = {}, [], 0
-
-        def close() -> None:
-            e = self.of.encode("".join(joined), add_special_tokens=False)
-            starts = np.cumsum([0, *map(len, joined)])
-            at = np.searchsorted([o[0] for o in e.offsets], starts)
-            ids = np.array(e.ids, "<u4").tobytes()
-            out.update((p, ids[4 * i : 4 * j]) for p, i, j in zip(joined, at[:-1].tolist(), at[1:].tolist(), strict=True))
-
-        for p in parts:
-            if len(p) <= PART_CHARS and p.startswith(" ") and not p[-1].isspace():
-                joined.append(p)
-                size += len(p)
-                if size > JOINED:
-                    close()
-                    joined, size = [], 0
+        self.letters = byte_letters()
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _new(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of parts.  Plain words are one unit of the rules, so they go to the
+        vocabulary's model at once; the rules cut all others first."""
+        # a line feed's letter is none of a word's
+        plain = [p if _WORD.fullmatch(p) else b"" for p in parts]
+        words = b"\n".join(plain).decode("latin-1").translate(self.letters).split(self.letters[10])
+        tokenize, encode, id_of = self.of.model.tokenize, self.of.encode, attrgetter("id")
+        ids, ends = [], [0]
+        for p, w in zip(parts, words, strict=False):
+            ids.extend(map(id_of, tokenize(w)) if w else encode(p.decode(), add_special_tokens=False).ids)
+            ends.append(4 * len(ids))
+        raw = np.array(ids, "<u4").tobytes()
+        return [raw[a:b] for a, b in pairwise(ends)]
+
+    def _look_up(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of different parts."""
+        young, old = self.young, self.old
+        out, new = [*map(young.get, parts)], []
+        for i in [i for i, ids in enumerate(out) if ids is None]:
+            ids = out[i] = old.get(parts[i])
+            if ids is None:
+                new.append(i)
             else:
-                out[p] = np.array(self.of.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
-        if joined:
-            close()
+                young[parts[i]] = ids
+        for i, ids in zip(new, self._new([parts[i] for i in new]), strict=True):
+            out[i] = ids
+            if len(parts[i]) <= PART_BYTES:
+                young[parts[i]] = ids
+        if len(young) > PARTS:
+            self.young, self.old = {}, young
         return out
 
+    def flat(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts that lie one behind the other in UTF-8 bytes, text i from
+        ``bounds[i]`` to ``bounds[i + 1]``; and where each text's ids begin, and their end."""
+        data = data[: bounds[-1]]
+        ids, starts, done = [np.empty(0, "<u4")], np.zeros(len(bounds), np.int64), 0
+        at, n, step = int(bounds[0]), int(bounds[-1]), WINDOW
+        while at < n:
+            stop = min(at + step, n)
+            seam = seams(data, at, stop)
+            seam[bounds[np.searchsorted(bounds, at, "right") : np.searchsorted(bounds, stop, "left")] - at] = True
+            cuts = np.flatnonzero(seam) + at
+            if stop < n and not len(cuts):
+                step *= 2
+                continue
+            cuts = np.concatenate(([at], cuts, [n] if stop == n else [])).astype(np.int64)
+            end = int(cuts[-1])
+            offsets = pa.py_buffer((cuts - at).astype(np.int32))
+            parts = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, offsets, pa.py_buffer(data[at:end])]).dictionary_encode()
+            found = self._look_up(parts.dictionary.to_pylist())
+            size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            which = parts.indices.to_numpy()
+            sizes = size[which]
+            ends = np.cumsum(sizes)
+            from_ = np.repeat((np.cumsum(size) - size)[which] - ends + sizes, sizes)
+            from_ += np.arange(len(from_))
+            ids.append(np.frombuffer(b"".join(found), "<u4")[from_])
+            within = slice(np.searchsorted(bounds, at, "right"), np.searchsorted(bounds, end, "right"))
+            starts[within] = done + ends[np.searchsorted(cuts, bounds[within]) - 1]
+            done, at, step = done + int(ends[-1]), end, WINDOW
+        return np.concatenate(ids), starts
+
+    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``flat`` of an Arrow column of texts (null: empty)."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset :][: len(texts) + 1]
+        raw = texts.buffers()[2]
+        return self.flat(np.frombuffer(raw, np.uint8) if raw else np.empty(0, np.uint8), bounds)
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
-        if len(self.known) >= PARTS:
-            self.known.clear()
-        cut = [*map(_SEAM.split, texts)]
-        new = self._new([*set(chain.from_iterable(cut)).difference(self.known)])
-        self.known.update(new)
-        of = self.known.__getitem__
-        out = [b"".join(map(of, parts)) for parts in cut]
-        for p in new:
-            if len(p) > PART_CHARS:
-                del self.known[p]
-        return out
+        ids, starts = self.column(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in pairwise(starts)]
 
 
 @functools.cache
@@ -110,9 +183,9 @@ def _pieces(name: str, capacity: int, end_id: int):
         encode, end = shared_encoder(name), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             out: dict[str, list] = {c: [] for c in ("doc_id", "piece", "start", "length", "ids_crc32")}
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), encode(texts), strict=True):
-                ids = np.frombuffer(raw + end, "<u4")
+            every, starts = encode.column(batch.column("text"))
+            for k, doc in enumerate(batch.column("doc_id").to_pylist()):
+                ids = np.frombuffer(every[starts[k] : starts[k + 1]].tobytes() + end, "<u4")
                 for i, (start, length) in enumerate(cut(len(ids), capacity)):
                     for c, v in zip(out, (doc, i, start, length, zlib.crc32(ids[start : start + length].tobytes())), strict=True):
                         out[c].append(v)

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -156,3 +157,14 @@ def test_plan_against_first_fit():
 def test_empty(documents):
     assert P.pack(documents([])).collect() == []
     assert [(r.length, r.offset) for r in P.pack(documents([(1, None)])).collect()] == [(1, 0)]
+
+
+def test_memory_does_not_grow_with_the_words():
+    """A worker keeps its encoder between tasks: what it remembers must stay small."""
+    own = P.Encoder()
+    tracemalloc.start()
+    for k in range(95):
+        own([" ".join(f"w{k * 10_000 + i}x" for i in range(10_000))])
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 80e6
