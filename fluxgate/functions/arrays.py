@@ -73,7 +73,9 @@ def is_monotonic(values: Column) -> Column:
 
 
 def cell_edges(centers: Column, log: bool = False) -> Column:
-    """n centers to n + 1 edges: midpoints (geometric if ``log``), ends extrapolated."""
+    """n centers to n + 1 edges: midpoints (geometric if ``log``), ends extrapolated.
+    Beside a center of zero a geometric end is infinite or NaN, as in IEEE division,
+    which Spark refuses."""
     n = F.size(centers)
     at = lambda i: F.get(centers, i)
     mid = (lambda a, b: F.sqrt(a * b)) if log else (lambda a, b: (a + b) / 2)
@@ -81,6 +83,7 @@ def cell_edges(centers: Column, log: bool = False) -> Column:
     root = F.lit(2.0**0.5)
     one = F.array(at(F.lit(0)) / root, at(F.lit(0)) * root) if log else F.array(at(F.lit(0)) - 0.5, at(F.lit(0)) + 0.5)
     first, last = mid(at(F.lit(0)), at(F.lit(1))), mid(at(n - 2), at(n - 1))
-    beyond = (lambda c, e: c * c / e) if log else (lambda c, e: 2 * c - e)
+    ratio = lambda a, b: F.when(b == 0, a * F.pow(b, F.lit(-1.0))).otherwise(a / b)
+    beyond = (lambda c, e: ratio(c * c, e)) if log else (lambda c, e: 2 * c - e)
     many = F.concat(F.array(beyond(at(F.lit(0)), first)), inner, F.array(beyond(at(n - 1), last)))
     return F.when(n == 0, F.slice(one, 1, 0)).when(n == 1, one).otherwise(many)

@@ -1,10 +1,13 @@
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from fluxgate.functions import arrays, levels, text
 from fluxgate.operators import joins, masking, reduce
+from fluxgate.plans import values
+from fluxgate.plans.registry import ORACLES
 from fluxgate.sources import codec
 
 
@@ -49,6 +52,22 @@ def test_edges(spark):
     assert got[1][1:3] == pytest.approx([10**0.5, 1000**0.5])
 
 
+def test_log_edges_beside_zero(spark):
+    got = one(spark, *[arrays.cell_edges(arr(*x), True) for x in ([0.0, 4.0, 9.0, 0.0], [4.0, 0.0], [0.0, 0.0], [4.0, -0.0], [4.0, 0.0, 9.0], [0.0])])
+    assert str(got) == str(([math.nan, 0.0, 6.0, 0.0, math.nan], [math.inf, 0.0, math.nan], [math.nan, 0.0, math.nan], [-math.inf, -0.0, math.nan], [math.inf, 0.0, 0.0, math.inf], [0.0, 0.0]))
+
+
+def test_log_edges_beside_zero_equal_sql(spark, tmp_path):
+    series = [[0.0, 4.0, 9.0], [9.0, 4.0, 0.0], [4.0, 0.0], [0.0, 0.0], [4.0, 0.0, 9.0], [0.0], [-4.0, 4.0], [4.0, None, 0.0], [math.inf, 0.0], [math.nan, 0.0], [1e-200, 1e-200], [1e200, 0.0]]
+    rows = [(10 * u + i, u, v) for u, s in enumerate(series) for i, v in enumerate(s)]
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = values.cell_edges_log(spark, str(tmp_path)).select("user_id", "edges").collect()
+    duck = duckdb.connect()
+    duck.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = duck.execute(ORACLES["cell_edges_log"]).fetchall()
+    assert sorted(str(tuple(r)) for r in got) == sorted(map(str, want)) and len(got) == len(series)
+
+
 def test_monotonic(spark):
     got = one(spark, *[arrays.is_monotonic(arr(*x)) for x in ([1, 2, 3], [3, 2, 1], [1, 1, 2], [1, 3, 2], [1])])
     assert got == (True, True, False, False, True)
